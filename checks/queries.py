@@ -14,7 +14,7 @@ from origintrace.operators import (
 from origintrace.plans import user_level
 from origintrace.sources import catalog, dumps, fixtures
 from origintrace.sources.schemas import text_schema
-from origintrace.sources.staging import new_folder, stage
+from origintrace.sources.staging import new_folder, spread, stage
 
 ROUND = 6
 
@@ -105,12 +105,12 @@ def concat_arrays_query(spark, d):
 
 
 def user_profiles(spark, d):
-    df = profiles.user_profiles(user_level.flagged_posts(fixtures.posts(spark, d)))
+    df = profiles.user_profiles(user_level.account_posts(fixtures.posts(spark, d)))
     return df.select(*profiles.ACCOUNT, "part", *[_joined(k, k) for k in profiles.KIND_COLUMNS])
 
 
 def user_token_counts(spark, d):
-    return profiles.token_counts(profiles.user_tokens(user_level.flagged_posts(fixtures.posts(spark, d))))
+    return profiles.token_counts(profiles.user_tokens(user_level.account_posts(fixtures.posts(spark, d))))
 
 
 # --- similarity --------------------------------------------------------------------------------------
@@ -156,39 +156,44 @@ def softmax_scores(spark, d):
     return user_level.probabilities(fixtures.posts(spark, d)).select("userid", *_vector("probability", "prob"))
 
 
+def _docs(spark, d) -> DataFrame:
+    """Documents spread over all cores: every use below works through their texts."""
+    return spread(fixtures.docs(spark, d), "tweetid")
+
+
 # --- text ----------------------------------------------------------------------------------------------
 def sentence_counts(spark, d):
-    return fixtures.docs(spark, d).select("tweetid", F.size(txt.sentences(F.col("tweet_text"))).alias("n_sentences"))
+    return _docs(spark, d).select("tweetid", F.size(txt.sentences(F.col("tweet_text"))).alias("n_sentences"))
 
 
 def _tokens(of):
     def query(spark, d):
-        words = fixtures.docs(spark, d).select("tweetid", of(txt.tokens(F.col("tweet_text"))).alias("words"))
+        words = _docs(spark, d).select("tweetid", of(txt.tokens(F.col("tweet_text"))).alias("words"))
         return words.select("tweetid", F.size("words").alias("n_tokens"), _joined("words", "tokens", " "))
 
     return query
 
 
 def prepare_text(spark, d):
-    prepared = features.prepare_text(fixtures.docs(spark, d), stemmed=False)
+    prepared = features.prepare_text(_docs(spark, d), stemmed=False)
     return prepared.select("sponsoring_country", "tweetid", "userid", "is_validation", _joined("ntokens", "ntokens", " "))
 
 
 def prepare_text_stemmed(spark, d):
-    prepared = features.prepare_text(fixtures.docs(spark, d))
+    prepared = features.prepare_text(_docs(spark, d))
     return prepared.select("sponsoring_country", "tweetid", "userid", "is_validation", _joined("ntokens", "ntokens", " "))
 
 
 def stem_vocabulary(spark, d):
-    return features.stem_vocabulary(fixtures.docs(spark, d))
+    return features.stem_vocabulary(_docs(spark, d))
 
 
 def term_frequency(spark, d):
-    return features.term_frequency(fixtures.docs(spark, d))
+    return features.term_frequency(_docs(spark, d))
 
 
 def tfidf_terms(spark, d):
-    docs = fixtures.docs(spark, d)
+    docs = _docs(spark, d)
     weighted = features.tfidf_terms(
         stage(features.term_frequency(docs), "term-frequency"), docs.agg(F.count("*")).scalar()
     )
@@ -197,7 +202,7 @@ def tfidf_terms(spark, d):
 
 def _hashed(spark, d) -> DataFrame:
     prepared = stage(
-        features.prepare_text(fixtures.docs(spark, d)).select(
+        features.prepare_text(_docs(spark, d)).select(
             "sponsoring_country", "tweetid", "userid", "is_validation", "ntokens"
         ),
         "prepared",
@@ -206,13 +211,10 @@ def _hashed(spark, d) -> DataFrame:
 
 
 def _vector_summary(df: DataFrame, column: str) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
-    values = vector_to_array(column)
-    return df.select(
-        "tweetid", F.size("ntokens").alias("n_tokens"),
-        F.size(F.filter(values, lambda x: x != 0)).alias("n_features"),
-        F.round(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), ROUND).alias("total"),
+    values = features.sparse_parts(df.select("tweetid", F.size("ntokens").alias("n_tokens"), column), column)
+    return values.select(
+        "tweetid", "n_tokens", F.size("indices").alias("n_features"),
+        F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), ROUND).alias("total"),
     )
 
 
@@ -251,16 +253,16 @@ def clf_embeddings(spark, d):
 
 
 def class_weights(spark, d):
-    return _rounded(classify.class_weights(fixtures.docs(spark, d)), "weight")
+    return _rounded(classify.class_weights(_docs(spark, d)), "weight")
 
 
 def label_index(spark, d):
-    return classify.label_index(fixtures.docs(spark, d))
+    return classify.label_index(_docs(spark, d))
 
 
 def _doc_votes(spark, d):
     predicted = fixtures.rule_prediction(F.col("tweetid"), F.col("sponsoring_country"), DOC_CLASSES)
-    return fixtures.docs(spark, d).withColumn("prediction", predicted)
+    return _docs(spark, d).withColumn("prediction", predicted)
 
 
 def weighted_f1(spark, d):
@@ -269,7 +271,7 @@ def weighted_f1(spark, d):
 
 # --- votes and ensemble -----------------------------------------------------------------------------------
 def _post_votes(spark, d) -> DataFrame:
-    flagged = user_level.flagged_posts(fixtures.posts(spark, d))
+    flagged = user_level.account_posts(fixtures.posts(spark, d))
     predicted = fixtures.rule_prediction(F.col("tweetid"), F.col("sponsoring_country"), CLASS_ORDER)
     return flagged.select(
         "sponsoring_country", "tweetid", "userid", "is_validation", predicted.alias("prediction"),

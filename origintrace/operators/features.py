@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from origintrace.constants import HASH_DIMENSIONS, MIN_DOC_FREQ
 from origintrace.functions import text as txt
 from origintrace.functions.stemming import stem, stems
 from origintrace.functions.tokens import drop_link_tokens
+from origintrace.sources.staging import staged_path
 
 HEAVY_TERMS = 4096  # terms in the most documents, broadcast when weighting; a fixed row bound
 
@@ -81,3 +82,22 @@ def hashed_model(
     ]
     rows = prepared if fit_on == "all" else prepared.where(~F.col("is_validation"))
     return Pipeline(stages=stages).fit(rows)
+
+
+def sparse_parts(vectors: DataFrame, column: str) -> DataFrame:
+    """A sparse vector column as ``indices`` and ``values`` arrays.
+
+    Parquet holds a vector as a struct, so a written table read under that type gives the parts
+    without widening every row to all dimensions.
+    """
+    path = staged_path(vectors, "vectors")
+    parts = T.StructType([
+        T.StructField("indices", T.ArrayType(T.IntegerType())),
+        T.StructField("values", T.ArrayType(T.DoubleType())),
+    ])
+    schema = T.StructType([
+        T.StructField(f.name, parts if f.name == column else f.dataType) for f in vectors.schema.fields
+    ])
+    return vectors.sparkSession.read.schema(schema).parquet(path).select(
+        *[c for c in vectors.columns if c != column], f"{column}.*"
+    )

@@ -33,11 +33,26 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/origintrace/{app}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as Parquet and return the written table."""
+def staged_path(df: DataFrame, name: str) -> str:
+    """Write ``df`` as Parquet and return the folder."""
     path = new_folder(df.sparkSession, name)
-    writer = df.write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.mode("errorifexists").parquet(path)
+    return path
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet and return the written table."""
+    return df.sparkSession.read.schema(df.schema).parquet(staged_path(df, name))
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a scan over all cores, before a step that costs much per row.
+
+    A scan of many files is spread already and is left alone.
+    """
+    n = shuffle_partitions(df.sparkSession)
+    return df.repartition(n, key) if len(df.inputFiles()) < n else df
