@@ -287,6 +287,15 @@ def oracle_sql() -> dict[str, str]:
             f"select r.corrected_name as table_name, r.sponsoring_country, r.release, p.tweetid, p.userid, "
             "p.tweet_text, p.tweet_language, p.hashtags, p.urls, p.user_mentions "
             "from posts p join routed r on p.tweetid = cast(r.o_orderkey as varchar)", "posts", "routed"),
+        "union_releases": chain(
+            "select sponsoring_country, case sponsoring_country "
+            + " ".join(f"when '{c}' then '2019{i + 1:02}'" for i, c in enumerate([*CLASS_ORDER, "spain"]))
+            + " end as release, tweetid, userid, tweet_language, hashtags, urls, user_mentions from posts "
+            "where tweet_language = 'en'", "posts"),
+        "ingest_quarantine": chain(
+            "select r.corrected_name as table_name, count(*) filter (o_orderstatus <> 'P') as accepted, "
+            "count(*) filter (o_orderstatus = 'P') as rejected from routed r join orders o on o.o_orderkey = r.o_orderkey "
+            "group by 1", "routed"),
         # split
         "tweets_per_user": chain("select * from per_user", "per_user"),
         "split_users": chain("select * from split", "split"),

@@ -13,7 +13,7 @@ from origintrace.operators import (
 )
 from origintrace.plans import user_level
 from origintrace.sources import catalog, dumps, fixtures
-from origintrace.sources.schemas import text_schema
+from origintrace.sources.schemas import CORRUPT, text_schema
 from origintrace.sources.staging import new_folder, spread, stage
 
 ROUND = 6
@@ -55,6 +55,14 @@ def combine_posts(spark, d):
     return posts.join(names, "tweetid").select(*posts.columns, "release")
 
 
+def union_releases(spark, d):
+    """One table per country, as (country, release, table), united with both as columns."""
+    posts = fixtures.posts(spark, d)
+    countries = [*CLASS_ORDER, "spain"]
+    tables = [(c, f"2019{i + 1:02}", posts.where(F.col("sponsoring_country") == c)) for i, c in enumerate(countries)]
+    return clean.combine(tables, ["tweetid", "userid", "tweet_language", "hashtags", "urls", "user_mentions"])
+
+
 def filter_lang(spark, d):
     return clean.in_language(fixtures.posts(spark, d))
 
@@ -79,6 +87,21 @@ def ingest_csv(spark, d):
     return dumps.accepted(rows).select("table_name", "sponsoring_country", "release", *INGESTED)
 
 
+def ingest_quarantine(spark, d):
+    """Orders as dump lines, with a cell too few where the order is of status P; rejected lines by table."""
+    names = fixtures.dump_names(spark, d)
+    orders = fixtures.table(spark, d, "orders").select(
+        "o_orderkey",
+        F.concat_ws(",", F.col("o_orderkey").cast("string"), F.when(F.col("o_orderstatus") != "P", "u"), F.lit("en")).alias("value"),
+    )
+    folder = new_folder(spark, "damaged")
+    orders.join(names, "o_orderkey").select("table_name", "value").write.partitionBy("table_name").text(folder)
+    rows = dumps.read_dumps(spark, folder, text_schema(["tweetid", "userid", "tweet_language"]), header=False, multiline=False)
+    return stage(rows, "lines").groupBy("table_name").agg(
+        F.count_if(F.col(CORRUPT).isNull()).alias("accepted"), F.count_if(F.col(CORRUPT).isNotNull()).alias("rejected")
+    )
+
+
 # --- split --------------------------------------------------------------------------------------
 def tweets_per_user(spark, d):
     return split.posts_per_user(clean_posts(spark, d))
@@ -94,6 +117,10 @@ def split_counts(spark, d):
     )
 
 
+def _account_posts(spark, d) -> DataFrame:
+    return user_level.account_posts(fixtures.posts(spark, d))
+
+
 # --- profiles -------------------------------------------------------------------------------------
 def normalize_tokens(spark, d):
     return clean_posts(spark, d).select("tweetid", _joined(normalized_list(F.col("hashtags")), "tokens"))
@@ -105,35 +132,35 @@ def concat_arrays_query(spark, d):
 
 
 def user_profiles(spark, d):
-    df = profiles.user_profiles(user_level.account_posts(fixtures.posts(spark, d)))
+    df = profiles.user_profiles(_account_posts(spark, d))
     return df.select(*profiles.ACCOUNT, "part", *[_joined(k, k) for k in profiles.KIND_COLUMNS])
 
 
 def user_token_counts(spark, d):
-    return profiles.token_counts(profiles.user_tokens(user_level.account_posts(fixtures.posts(spark, d))))
+    return profiles.token_counts(profiles.user_tokens(_account_posts(spark, d)))
 
 
 # --- similarity --------------------------------------------------------------------------------------
 def _exact(channel: str):
     def query(spark, d):
-        pairs = user_level.similar_accounts(fixtures.posts(spark, d), [channel])
+        pairs = user_level.similar_accounts(_account_posts(spark, d), [channel])
         return _rounded(pairs.drop("channel"), "similarity")
 
     return query
 
 
 def similarity_edges(spark, d):
-    edges = scores.similarity_edges(user_level.similar_accounts(fixtures.posts(spark, d)))
+    edges = scores.similarity_edges(user_level.similar_accounts(_account_posts(spark, d)))
     return _rounded(edges, "similarity")
 
 
 def minhash_signatures(spark, d):
-    return minhash.signatures(user_level.sets_of(fixtures.posts(spark, d)), N_TABLES)
+    return minhash.signatures(user_level.sets_of(_account_posts(spark, d)), N_TABLES)
 
 
 def _lsh(channel: str):
     def query(spark, d):
-        pairs = minhash.minhash_pairs(user_level.sets_of(fixtures.posts(spark, d), [channel]), N_TABLES)
+        pairs = user_level.similar_accounts_by_minhash(_account_posts(spark, d), [channel], N_TABLES)
         return _rounded(pairs.drop("channel"), "similarity")
 
     return query
@@ -141,19 +168,19 @@ def _lsh(channel: str):
 
 # --- scores ------------------------------------------------------------------------------------------
 def neighbour_scores(spark, d):
-    return _rounded(user_level.neighbour_scores(fixtures.posts(spark, d)), "similarity")
+    return _rounded(user_level.neighbour_scores(_account_posts(spark, d)), "similarity")
 
 
 def similarity_scores(spark, d):
-    return user_level.score_vectors(fixtures.posts(spark, d)).select("userid", *_vector("score", "score"))
+    return user_level.score_vectors(_account_posts(spark, d)).select("userid", *_vector("score", "score"))
 
 
 def normalized_scores(spark, d):
-    return user_level.normalized(fixtures.posts(spark, d)).select("userid", *_vector("score", "score"))
+    return user_level.normalized(_account_posts(spark, d)).select("userid", *_vector("score", "score"))
 
 
 def softmax_scores(spark, d):
-    return user_level.probabilities(fixtures.posts(spark, d)).select("userid", *_vector("probability", "prob"))
+    return user_level.probabilities(_account_posts(spark, d)).select("userid", *_vector("probability", "prob"))
 
 
 def _docs(spark, d) -> DataFrame:
@@ -270,8 +297,7 @@ def weighted_f1(spark, d):
 
 
 # --- votes and ensemble -----------------------------------------------------------------------------------
-def _post_votes(spark, d) -> DataFrame:
-    flagged = user_level.account_posts(fixtures.posts(spark, d))
+def _post_votes(flagged: DataFrame) -> DataFrame:
     predicted = fixtures.rule_prediction(F.col("tweetid"), F.col("sponsoring_country"), CLASS_ORDER)
     return flagged.select(
         "sponsoring_country", "tweetid", "userid", "is_validation", predicted.alias("prediction"),
@@ -279,26 +305,28 @@ def _post_votes(spark, d) -> DataFrame:
     )
 
 
-def _vote_shares(spark, d):
-    return votes.post_vote_probability(_post_votes(spark, d).where("is_validation"))
+def _vote_shares(flagged: DataFrame) -> DataFrame:
+    return votes.post_vote_probability(_post_votes(flagged).where("is_validation"))
 
 
 def post_vote_probability(spark, d):
-    return _vote_shares(spark, d).select("sponsoring_country", "userid", *_vector("probability", "share"))
+    return _vote_shares(_account_posts(spark, d)).select("sponsoring_country", "userid", *_vector("probability", "share"))
 
 
 def pivot_predictions(spark, d):
-    return _rounded(votes.pivot_predictions(_post_votes(spark, d)), *[f"share_{c}" for c in CLASS_ORDER])
+    return _rounded(votes.pivot_predictions(_post_votes(_account_posts(spark, d))), *[f"share_{c}" for c in CLASS_ORDER])
 
 
 def ensemble_inner(spark, d):
-    return ensemble.ensemble_inner(_vote_shares(spark, d), user_level.probabilities(fixtures.posts(spark, d)))
+    flagged = _account_posts(spark, d)
+    return ensemble.ensemble_inner(_vote_shares(flagged), user_level.probabilities(flagged))
 
 
 def ensemble_left(spark, d):
-    predictions = _post_votes(spark, d)
+    flagged = _account_posts(spark, d)
+    predictions = _post_votes(flagged)
     blended = ensemble.ensemble_left(
-        predictions, votes.pivot_predictions(predictions), user_level.probabilities(fixtures.posts(spark, d))
+        predictions, votes.pivot_predictions(predictions), user_level.probabilities(flagged)
     )
     return _rounded(blended, *[f"prob_{c}" for c in CLASS_ORDER])
 
@@ -312,7 +340,9 @@ def queries():
         "catalog_route": catalog_route,
         "normalize_release": normalize_release,
         "combine_posts": combine_posts,
+        "union_releases": union_releases,
         "ingest_csv": ingest_csv,
+        "ingest_quarantine": ingest_quarantine,
         "filter_lang": filter_lang,
         "clean_posts": clean_posts,
         "tweets_per_user": tweets_per_user,

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from origintrace.functions.tokens import normalized
+from origintrace.sources.staging import stage
 
 ACCOUNT = ["is_validation", "sponsoring_country", "userid"]
 
@@ -73,7 +74,7 @@ def user_profiles(posts: DataFrame, max_array: int = 100_000) -> DataFrame:
     An account with more than ``max_array`` tokens of a kind has its sets spread over several
     rows, numbered by ``part``; the union of its parts is the whole set.
     """
-    tokens = user_tokens(posts)
+    tokens = stage(user_tokens(posts), "tokens")
     largest = token_counts(tokens).groupBy(*ACCOUNT).agg(F.max("n_tokens").alias("largest"))
     split_accounts = largest.where(F.col("largest") > max_array).select(
         *ACCOUNT, F.ceil(F.col("largest") / F.lit(max_array)).alias("n_parts")

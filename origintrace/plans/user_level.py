@@ -5,17 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from origintrace.constants import CLASS_ORDER, MODELLED_COUNTRIES
-from origintrace.operators import clean, profiles, scores, similarity, split
+from origintrace.operators import clean, minhash, profiles, scores, similarity, split
 from origintrace.sources.staging import stage
 
 
-def flagged_posts(posts: DataFrame, countries: list[str] = MODELLED_COUNTRIES) -> DataFrame:
-    """Cleaned posts with the validation flag."""
-    return split.split_posts(clean.clean_posts(posts, countries))
-
-
 def account_posts(posts: DataFrame, countries: list[str] = MODELLED_COUNTRIES) -> DataFrame:
-    """Flagged posts without their text.
+    """Cleaned posts with the validation flag and without their text: where every flow starts.
 
     The cut between training and validation needs a pass of its own, so the cleaned narrow table
     is staged: the texts, most of the bytes, are then read once.
@@ -25,8 +20,8 @@ def account_posts(posts: DataFrame, countries: list[str] = MODELLED_COUNTRIES) -
 
 
 def sets_of(posts: DataFrame, channels: list[str] = list(profiles.CHANNEL_KINDS)) -> DataFrame:
-    """Token sets of raw posts, per channel."""
-    return profiles.channel_sets(account_posts(posts), channels)
+    """Token sets of ``account_posts``, per channel, staged: every similarity job reads them often."""
+    return stage(profiles.channel_sets(posts, channels), "sets")
 
 
 def similar_accounts(posts: DataFrame, channels: list[str] = list(profiles.CHANNEL_KINDS)) -> DataFrame:
@@ -34,8 +29,15 @@ def similar_accounts(posts: DataFrame, channels: list[str] = list(profiles.CHANN
     return similarity.similar_pairs(similarity.index_sets(sets_of(posts, channels)))
 
 
+def similar_accounts_by_minhash(
+    posts: DataFrame, channels: list[str] = list(profiles.CHANNEL_KINDS), n_tables: int = 20
+) -> DataFrame:
+    """Most of ``similar_accounts``: the pairs that agree in one of ``n_tables`` minima."""
+    return minhash.minhash_pairs(sets_of(posts, channels), n_tables)
+
+
 def _scored(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accounts, neighbour scores): every account has a post id and a user id in its sets."""
+    """(accounts, neighbour scores): every account has its own id in the set of channel ``users``."""
     indexed = similarity.index_sets(sets_of(posts))
     accounts = indexed.accounts.where(F.col("channel") == "users").select(
         "is_validation", "sponsoring_country", "userid"
@@ -62,5 +64,5 @@ def normalized(posts: DataFrame, classes: list[str] = CLASS_ORDER, size_of: str
 
 
 def probabilities(posts: DataFrame, classes: list[str] = CLASS_ORDER, size_of: str = "validation") -> DataFrame:
-    """One probability vector per validation user, in the order of ``classes``."""
+    """One probability vector per validation user of ``account_posts``, in the order of ``classes``."""
     return scores.softmax_scores(normalized(posts, classes, size_of))
