@@ -11,7 +11,7 @@ from origintrace.functions.tokens import concat_arrays, drop_link_tokens, normal
 from origintrace.operators import (
     classify, clean, ensemble, features, metrics, minhash, profiles, scores, similarity, split, votes,
 )
-from origintrace.plans import user_level
+from origintrace.plans import post_level, user_level
 from origintrace.sources import catalog, dumps, fixtures
 from origintrace.sources.schemas import CORRUPT, text_schema
 from origintrace.sources.staging import new_folder, spread, stage
@@ -79,7 +79,7 @@ def ingest_csv(spark, d):
     names = fixtures.dump_names(spark, d).select(F.col("o_orderkey").cast("string").alias("tweetid"), "table_name")
     folder = new_folder(spark, "dumps")
     (
-        fixtures.posts(spark, d).select(*INGESTED).join(names, "tweetid")
+        fixtures.posts(spark, d).select(*INGESTED).join(names, "tweetid").hint("rebalance", "table_name")
         .write.partitionBy("table_name").option("header", True).option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
     )
@@ -95,9 +95,9 @@ def ingest_quarantine(spark, d):
         F.concat_ws(",", F.col("o_orderkey").cast("string"), F.when(F.col("o_orderstatus") != "P", "u"), F.lit("en")).alias("value"),
     )
     folder = new_folder(spark, "damaged")
-    orders.join(names, "o_orderkey").select("table_name", "value").write.partitionBy("table_name").text(folder)
+    orders.join(names, "o_orderkey").select("table_name", "value").hint("rebalance", "table_name").write.partitionBy("table_name").text(folder)
     rows = dumps.read_dumps(spark, folder, text_schema(["tweetid", "userid", "tweet_language"]), header=False, multiline=False)
-    return stage(rows, "lines").groupBy("table_name").agg(
+    return rows.groupBy("table_name").agg(
         F.count_if(F.col(CORRUPT).isNull()).alias("accepted"), F.count_if(F.col(CORRUPT).isNotNull()).alias("rejected")
     )
 
@@ -228,13 +228,8 @@ def tfidf_terms(spark, d):
 
 
 def _hashed(spark, d) -> DataFrame:
-    prepared = stage(
-        features.prepare_text(_docs(spark, d)).select(
-            "sponsoring_country", "tweetid", "userid", "is_validation", "ntokens"
-        ),
-        "prepared",
-    )
-    return features.hashed_model(prepared).transform(prepared)
+    tokens = post_level.prepared(fixtures.docs(spark, d))
+    return features.hashed_model(tokens).transform(tokens)
 
 
 def _vector_summary(df: DataFrame, column: str) -> DataFrame:
@@ -254,17 +249,9 @@ def tfidf_hashed(spark, d):
 
 
 # --- classifiers ---------------------------------------------------------------------------------------
-def _labelled(spark, d) -> DataFrame:
-    rows = classify.with_weight_and_label(_hashed(spark, d))
-    return stage(
-        rows.select("sponsoring_country", "tweetid", "userid", "is_validation", "label", "weight", "tfidf"), "features"
-    )
-
-
 def _classified(kind: str):
     def query(spark, d):
-        rows = _labelled(spark, d)
-        return classify.named(classify.predict(kind, rows), classify.label_index(rows))
+        return post_level.predictions(post_level.featured(post_level.prepared(fixtures.docs(spark, d))), kind)
 
     return query
 
