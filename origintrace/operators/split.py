@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from origintrace.constants import SEED, VALIDATION_SHARE
+from origintrace.sources.staging import stage
 
 
 def order_key(country: Column, userid: Column, seed: int = SEED) -> Column:
@@ -25,7 +26,7 @@ def posts_per_user(posts: DataFrame) -> DataFrame:
 def cut_keys(
     users: DataFrame, share: float = VALIDATION_SHARE, seed: int = SEED, bucket_digits: int = 3
 ) -> DataFrame:
-    """The last validation key of every country, from ``posts_per_user``.
+    """The last validation key of every country, from ``posts_per_user``, staged, as it is read twice.
 
     Accounts are first summed per key prefix (16 ** bucket_digits buckets a country); only the
     accounts of the one bucket that holds the cut are sorted.
@@ -77,9 +78,11 @@ def flag_validation(rows: DataFrame, cuts: DataFrame, seed: int = SEED) -> DataF
 
 def split_users(users: DataFrame, share: float = VALIDATION_SHARE, seed: int = SEED) -> DataFrame:
     """Every account of ``posts_per_user`` with its flag."""
+    users = stage(users, "posts-per-user")
     return flag_validation(users, cut_keys(users, share, seed), seed)
 
 
 def split_posts(posts: DataFrame, share: float = VALIDATION_SHARE, seed: int = SEED) -> DataFrame:
     """Every cleaned post with the flag of its account."""
-    return flag_validation(posts, cut_keys(posts_per_user(posts), share, seed), seed)
+    users = stage(posts_per_user(posts), "posts-per-user")
+    return flag_validation(posts, cut_keys(users, share, seed), seed)
