@@ -263,7 +263,7 @@ def _encode(documents: DataFrame, shared) -> DataFrame:
     def encode(batches):
         v = shared.value
         index = cache.setdefault("index", _Index(zip(v.words, range(len(v.words)))))
-        symbols, logs = np.append(v.symbols, 0), np.append(v.logs, 0.0)
+        symbols, logs = np.append(v.symbols, np.uint16(0)), np.append(v.logs, 0.0)
         for batch in batches:
             for k in range(0, len(batch), 1000):
                 part, rows = batch.iloc[k : k + 1000], []
