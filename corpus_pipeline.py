@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from origintrace.llm import mixing, packing, quality_crf, simhash, toxicity
+from origintrace.llm.columns import fresh
 from origintrace.llm.tokens import default_tokenizer
 from origintrace.sources.staging import stage
 
@@ -40,7 +41,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once, those of small sources more often. A null source is one of its own."""
-    return mixing.mix(docs, MIX).drop("mix_epoch")
+    epoch = fresh(docs, "mix_epoch")
+    return mixing.mix(docs, MIX, epoch=epoch).drop(epoch)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

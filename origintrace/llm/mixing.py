@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from origintrace.llm.columns import fresh, quoted
 from origintrace.sources.staging import stage
 
 #: Points at which one job tries the exponent, and rounds of such jobs: the interval shrinks to SECTIONS**-ROUNDS.
@@ -127,8 +128,10 @@ def _cuts(costs: DataFrame, plan: DataFrame) -> DataFrame:
     return state.join(fitting, "key", "left").select("key", F.coalesce("h", start - 1).alias("cut"))
 
 
-def mix(documents: DataFrame, target: Target, id_column: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """The rows of ``documents``, each as often as its source's budget asks for, with ``mix_epoch`` (from 0).
+def mix(
+    documents: DataFrame, target: Target, id_column: str = "doc_id", source: str = "source", text: str = "text", epoch: str = "mix_epoch",
+) -> DataFrame:
+    """The rows of ``documents``, each as often as its source's budget asks for, with the pass as ``epoch`` (from 0).
 
     A row's copies are ``passes`` of its source, plus one if its hash lies in the partial pass. Rows with the
     same id have the same hash and enter the partial pass together or not at all; it never goes over its budget.
@@ -138,18 +141,19 @@ def mix(documents: DataFrame, target: Target, id_column: str = "doc_id", source:
     costs = stage(documents.select(source_key(source).alias("key"), h.alias("h"), token_count(F.col(text)).alias("cost")), "costs")
     sources = stage(costs.groupBy("key").agg(F.sum("cost").alias("tokens")), "sources")
     if sources.isEmpty():
-        return documents.withColumn("mix_epoch", F.lit(0))
+        return documents.withColumn(epoch, F.lit(0))
     plan = stage(_budgets(sources, target, exponent(sources, target)), "budgets")
-    plan = stage(plan.join(_cuts(costs, plan), "key", "left").select(F.col("key").alias("__key"), "passes", "cut"), "plan")
-    plan = plan.select("__key", F.col("passes").alias("__passes"), F.col("cut").alias("__cut"))
-    copies = F.col("__passes") + F.when(h <= F.col("__cut"), 1).otherwise(0)
+    plan = stage(plan.join(_cuts(costs, plan), "key", "left").select("key", "passes", "cut"), "plan")
+    key, place = fresh(documents, "mix_source"), fresh(documents, "mix_place")
+    keyed = documents.withColumns({key: source_key(source), place: h})
+    copies = (plan["passes"] + F.when(keyed[place] <= plan["cut"], 1).otherwise(0)).cast("int")
+    repeated = F.sequence(F.lit(1), copies)
     return (
-        documents.join(plan, source_key(source) == F.col("__key")).withColumn("__copies", copies.cast("int")).where("__copies > 0")
-        .withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
-        .drop("__key", "__passes", "__cut", "__copies")
+        keyed.join(plan, keyed[key] == plan["key"]).where(copies > 0)
+        .select(*[keyed[c] for c in quoted(documents)], F.explode(repeated).alias(epoch)).withColumn(epoch, F.col(epoch) - 1)
     )
 
 
-def permutation(id_column: str, seed: int = 42) -> Column:
+def permutation(id_column: str, seed: int = 42, epoch: str = "mix_epoch") -> Column:
     """A row's place: rows sorted by it are a new permutation of every source in each epoch."""
-    return F.xxhash64(F.lit(seed), F.col("mix_epoch"), F.col(id_column))
+    return F.xxhash64(F.lit(seed), F.col(epoch), F.col(id_column))

@@ -2,9 +2,9 @@
 
 OP1 = """
 with usable as (
-    select vec_id, list_transform(embedding, x -> floor(256 * x::double)) as v from embeddings
+    select vec_id, [floor(256 * x::double) for x in embedding] as v from embeddings
     where vec_id is not null and len(embedding) > 0
-      and len(list_filter(embedding, x -> x is not null and isfinite(x))) = len(embedding)
+      and len([x for x in embedding if x is not null and isfinite(x)]) = len(embedding)
 ), scored as (
     select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score
     from (select vec_id, min(v) as v from usable where vec_id % 50 = 0 group by vec_id) q

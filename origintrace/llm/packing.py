@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from origintrace.llm.columns import fresh, quoted
 from origintrace.llm.tokens import encoder
 from origintrace.sources.staging import stage
 
@@ -163,14 +164,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Offsets of a sequence have no gaps. A piece of full length is a sequence of its own. Repeated rows are
     pieces of their own. A null length is taken as 1. An empty table stays empty.
     """
-    pieces = stage(pieces.withColumn("__uid", F.monotonically_increasing_id()), "pieces")
+    given, row = pieces, fresh(pieces, "row")
+    pieces = stage(pieces.withColumn(row, F.monotonically_increasing_id()), "pieces")
     length = F.coalesce(F.col("length"), F.lit(1)).cast("long")
-    items = pieces.select(F.col("__uid").alias("uid"), length.alias("length")).where(F.col("length") < capacity)
+    items = pieces.select(F.col(row).alias("uid"), length.alias("length")).where(F.col("length") < capacity)
     first = stage(_level(items, 1, capacity), "packed")
     fits = F.col("filled") >= BADLY_FILLED * capacity
     second = _level(first.where(~fits).select("uid", "length"), 2, capacity)
-    placed = first.where(fits).unionByName(second).select(F.col("uid").alias("__uid"), "sequence_id", "offset")
-    return pieces.join(placed, "__uid", "left").select(
-        *[F.col(f"`{c}`") for c in pieces.columns if c != "__uid"],
-        F.coalesce("sequence_id", -1 - F.col("__uid")).alias("sequence_id"), F.coalesce("offset", F.lit(0)).alias("offset"),
+    placed = first.where(fits).unionByName(second).select("uid", "sequence_id", "offset")
+    return pieces.join(placed, pieces[row] == placed["uid"], "left").select(
+        *[pieces[c] for c in quoted(given)],
+        F.coalesce(placed["sequence_id"], -1 - pieces[row]).alias("sequence_id"), F.coalesce(placed["offset"], F.lit(0)).alias("offset"),
     )

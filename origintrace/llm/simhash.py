@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from origintrace.llm.columns import fresh, quoted
 from origintrace.llm.components import components
 from origintrace.sources.staging import stage
 
@@ -193,11 +194,12 @@ def keep_one(documents: DataFrame, *, width: int = 3, distance: int = 3, blocks:
     found = near_duplicates(documents, width=width, distance=distance, blocks=blocks)
     kept = (
         found.where(F.col("fp") == F.col("kept_fp")).where(F.col("id").eqNullSafe(F.col("component_id")))
-        .select(F.col("id").alias("__id"), F.col("fp").alias("__kept")).distinct()
+        .select("id", F.col("fp").alias("kept")).distinct()
     )
-    rows = documents.withColumn("__fp", fingerprint_column(F.col("text"), width))
-    one = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__kept")), "left_semi")
-    return one.dropDuplicates(["doc_id", "__fp"]).select(*[F.col(f"`{c}`") for c in documents.columns])
+    fp = fresh(documents, "fingerprint")
+    rows = documents.withColumn(fp, fingerprint_column(F.col("text"), width))
+    one = rows.join(kept, rows["doc_id"].eqNullSafe(kept["id"]) & (rows[fp] == kept["kept"]), "left_semi")
+    return one.dropDuplicates(["doc_id", fp]).select(*quoted(documents))
 
 
 def hex_digits(fp: str | Column) -> Column:

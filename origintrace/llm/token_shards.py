@@ -24,8 +24,8 @@ from origintrace.sources.staging import new_folder, stage
 END_ID = 2
 #: A shard ends at so many ids or documents; keys of an index part, about.
 SHARD_IDS, SHARD_DOCUMENTS, PART_KEYS = 8 << 20, 1 << 16, 4096
-#: Trailer: documents, bytes of an id, mark. Head of an index part: keys, displacements.
-TRAILER, HEAD, MARK = struct.Struct("<QI4s"), struct.Struct("<QQ"), b"IDS1"
+#: Trailer: documents, bytes of an id, mark. Head of an index part: keys, displacements, seed.
+TRAILER, HEAD, MARK = struct.Struct("<QI4s"), struct.Struct("<QQQ"), b"IDS1"
 SLOT = np.dtype([("print", "<u4"), ("shard", "<u4"), ("number", "<u4"), ("copies", "<u4")])
 NULL_KEY = "\x00"
 
@@ -75,11 +75,11 @@ class ShardReader:
         self.file.close()
 
 
-def _hashes(keys: list[str], slots: int, displacements: int):
+def _hashes(keys: list[str], slots: int, displacements: int, seed: int):
     """(displacement number, first and second step, fingerprint) of each key."""
     import xxhash
 
-    raw = np.frombuffer(b"".join(xxhash.xxh3_128_digest(k.encode("utf-8", "surrogatepass")) for k in keys), dtype="<u8").reshape(-1, 2)
+    raw = np.frombuffer(b"".join(xxhash.xxh3_128_digest(k.encode("utf-8", "surrogatepass"), seed=seed) for k in keys), dtype="<u8").reshape(-1, 2)
     low, high = raw[:, 0], raw[:, 1]
     return (
         (low % np.uint64(displacements)).astype(np.int64), ((low >> np.uint64(20)) % np.uint64(slots)).astype(np.int64),
@@ -87,11 +87,23 @@ def _hashes(keys: list[str], slots: int, displacements: int):
     )
 
 
-def build_perfect_hash(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(displacements, slot of each key) for different keys: slots are 0 to n - 1, each once."""
+def build_perfect_hash(keys: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(displacements, slot of each key, seed) for different keys: slots are 0 to n - 1, each once.
+
+    A seed under which keys cannot be told apart is given up for the next one.
+    """
+    if len(set(keys)) < len(keys):
+        raise ValueError("keys repeat")
+    seed = 0
+    while (found := _displace(keys, seed)) is None:
+        seed += 1
+    return *found, seed
+
+
+def _displace(keys: list[str], seed: int) -> tuple[np.ndarray, np.ndarray] | None:
     n = len(keys)
     r = max(1, n // 4)
-    group, first, second, _ = _hashes(keys, n, r)
+    group, first, second, _ = _hashes(keys, n, r, seed)
     displacements, taken, slot = np.zeros(r, dtype="<u4"), np.zeros(n, dtype=bool), np.empty(n, dtype=np.int64)
     order = np.argsort(group, kind="stable")
     members = np.split(order, np.searchsorted(group[order], np.arange(1, r)))
@@ -100,14 +112,15 @@ def build_perfect_hash(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
         mine = members[g]
         if not len(mine):
             break
-        for turn in range(1 << 20):
+        for turn in range(n):
             start = (first[mine] + turn * second[mine]) % n
-            if len(np.unique(start)) == len(start):
-                free = ~taken[(start[:, None] + every) % n].any(axis=0)
-                if free.any():
-                    break
-            if turn * n + n > 0xFFFFFFFF - n:
-                raise ValueError("no displacement found: keys repeat")
+            if len(np.unique(start)) < len(start):
+                continue
+            free = ~taken[(start[:, None] + every) % n].any(axis=0)
+            if free.any():
+                break
+        else:
+            return None
         shift = int(free.argmax())
         slot[mine] = (start + shift) % n
         taken[slot[mine]] = True
@@ -117,23 +130,23 @@ def build_perfect_hash(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def build_part(keys: list[str], shard: np.ndarray, number: np.ndarray, copies: np.ndarray) -> bytes:
     """One part of the index as a file."""
-    displacements, slot = build_perfect_hash(keys)
+    displacements, slot, seed = build_perfect_hash(keys)
     table = np.zeros(len(keys), dtype=SLOT)
-    table["print"][slot] = _hashes(keys, len(keys), len(displacements))[3]
+    table["print"][slot] = _hashes(keys, len(keys), len(displacements), seed)[3]
     table["shard"][slot], table["number"][slot], table["copies"][slot] = shard, number, copies
-    return HEAD.pack(len(keys), len(displacements)) + displacements.tobytes() + table.tobytes()
+    return HEAD.pack(len(keys), len(displacements), seed) + displacements.tobytes() + table.tobytes()
 
 
 class IndexPart:
     """Look-ups in one part: ``find(keys)`` gives slots as structured rows; ``copies`` is 0 for unknown keys."""
 
     def __init__(self, data: bytes):
-        self.n, r = HEAD.unpack_from(data)
+        self.n, r, self.seed = HEAD.unpack_from(data)
         self.displacements = np.frombuffer(data, "<u4", r, HEAD.size).astype(np.int64)
         self.table = np.frombuffer(data, SLOT, self.n, HEAD.size + 4 * r)
 
     def find(self, keys: list[str]) -> np.ndarray:
-        group, first, second, prints = _hashes(keys, self.n, len(self.displacements))
+        group, first, second, prints = _hashes(keys, self.n, len(self.displacements), self.seed)
         d = self.displacements[group]
         found = self.table[(first + (d // self.n) * second + d % self.n) % self.n].copy()
         found["copies"][found["print"] != prints] = 0
