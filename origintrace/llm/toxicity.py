@@ -27,7 +27,7 @@ HELD_OUT_FOLD = 0
 PREFIXES = (4, 5, 6)
 _BLANKS = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 #: Words without features that a Python worker remembers, at most.
-_REMEMBERED = 400_000
+_REMEMBERED = 150_000
 
 
 def words_of(text: str | None) -> set[bytes]:
