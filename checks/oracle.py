@@ -5,14 +5,17 @@ Each query is a chain of common table expressions; ``chain`` picks those a query
 
 from __future__ import annotations
 
+import re
+
 from origintrace.constants import (
-    CLASS_ORDER, COUNTRIES, MODELLED_COUNTRIES, RELEASE_RENAMES, STOP_WORDS, TABLE_RENAMES,
+    ABBREVIATIONS, CLASS_ORDER, COUNTRIES, MODELLED_COUNTRIES, RELEASE_RENAMES, STOP_WORDS, TABLE_RENAMES,
 )
 from origintrace.functions.tokens import WHITESPACE
 from origintrace.operators.minhash import PRIME, coefficients
 
 DOC_CLASSES = ["en", "de", "fr", "es"]
 N_TABLES = 20
+ABBREVIATED = "|".join(re.escape(a) for a in ABBREVIATIONS)
 
 
 def text_list(values) -> str:
@@ -310,9 +313,7 @@ def oracle_sql() -> dict[str, str]:
         "concat_arrays": chain(
             "select tweetid, array_to_string(list_concat(string_split(hashtags, ', '), string_split(urls, ', '), "
             "string_split(user_mentions, ', ')), ', ') as joined from clean", "clean"),
-        "user_profiles": chain(
-            f"select is_validation, sponsoring_country, userid, 0 as part, {profile} from tokens "
-            "group by is_validation, sponsoring_country, userid", "tokens"),
+        "user_profiles": chain("select distinct is_validation, sponsoring_country, userid, kind, token from tokens", "tokens"),
         "user_token_counts": chain(
             "select is_validation, sponsoring_country, userid, kind, count(*) as n_tokens from tokens group by all",
             "tokens"),
@@ -333,7 +334,8 @@ def oracle_sql() -> dict[str, str]:
         "softmax_scores": chain(f"select userid, {r6('u', 'prob')} from user_level", "user_level"),
         # text
         "sentence_counts": chain(
-            r"select tweetid, len(string_split(regexp_replace(tweet_text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) "
+            rf"select tweetid, len(list_filter(string_split(regexp_replace(regexp_replace(tweet_text, '\b({ABBREVIATED})\.(\s)', "
+            r"'\1' || chr(2) || '\2', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda t: regexp_matches(t, '\S'))) "
             "as n_sentences from docs", "docs"),
         "tokenize": chain("select tweetid, len(words) as n_tokens, array_to_string(words, ' ') as tokens from words", "words"),
         "stopword_filter": chain(

@@ -14,7 +14,7 @@ from origintrace.operators import (
 from origintrace.plans import post_level, user_level
 from origintrace.sources import catalog, dumps, fixtures
 from origintrace.sources.schemas import CORRUPT, text_schema
-from origintrace.sources.staging import new_folder, spread, stage
+from origintrace.sources.staging import new_folder, stage
 
 ROUND = 6
 
@@ -132,8 +132,7 @@ def concat_arrays_query(spark, d):
 
 
 def user_profiles(spark, d):
-    df = profiles.user_profiles(_account_posts(spark, d))
-    return df.select(*profiles.ACCOUNT, "part", *[_joined(k, k) for k in profiles.KIND_COLUMNS])
+    return profiles.user_profiles(_account_posts(spark, d))
 
 
 def user_token_counts(spark, d):
@@ -184,8 +183,7 @@ def softmax_scores(spark, d):
 
 
 def _docs(spark, d) -> DataFrame:
-    """Documents spread over all cores: every use below works through their texts."""
-    return spread(fixtures.docs(spark, d), "tweetid")
+    return fixtures.docs(spark, d)
 
 
 # --- text ----------------------------------------------------------------------------------------------
@@ -260,10 +258,10 @@ def clf_embeddings(spark, d):
     vec_id = F.col("vec_id").cast("string")
     rows = fixtures.table(spark, d, "embeddings").select(
         F.col("label").cast("string").alias("sponsoring_country"), vec_id.alias("tweetid"), vec_id.alias("userid"),
-        F.col("label").cast("double").alias("label"), "embedding",
+        "embedding",
         (F.substring(F.md5(vec_id), 1, 1) == "0").alias("is_validation"),
     )
-    return classify.predict_embeddings(rows, n_classes=10, size=64)
+    return classify.predict_embeddings(rows).withColumn("result", _joined("result", "result"))
 
 
 def class_weights(spark, d):

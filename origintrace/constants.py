@@ -63,3 +63,6 @@ rt
 
 # --- fixed values: ensemble --------------------------------------------------------------------
 ENSEMBLE_WEIGHTS = (0.5, 0.5)
+
+#: Words after whose full stop a sentence goes on.
+ABBREVIATIONS = ["Dr", "Jr", "Mr", "Mrs", "Ms", "Prof", "Sr", "St", "e.g", "i.e", "vs"]

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
-from origintrace.constants import CONTEXT_CHARS, SPLIT_CHARS, STOP_WORDS
+from origintrace.constants import ABBREVIATIONS, CONTEXT_CHARS, SPLIT_CHARS, STOP_WORDS
 
-_MARK = "\u0001"
+_MARK, _HELD = "\u0001", "\u0002"
 _SPACE = r"[ \n\t\r]"
 _SPLIT = f"[{SPLIT_CHARS}]+"
 _CONTEXT = f"[{CONTEXT_CHARS}]+"
 
 
-def sentences(text: Column) -> Column:
-    """Pieces that end in one of ``.!?`` followed by white space."""
-    marked = F.regexp_replace(text, r"([.!?])\s+", "$1" + _MARK)
-    return F.split(marked, _MARK)
+def sentences(text: Column, abbreviations: list[str] = ABBREVIATIONS) -> Column:
+    """Pieces that end in one of ``.!?`` followed by white space, but for the full stop of an abbreviation.
+
+    Blank pieces are left out, so an empty text has no sentence.
+    """
+    short = "|".join(re.escape(a) for a in abbreviations)
+    held = F.regexp_replace(text, rf"\b({short})\.(\s)", "$1" + _HELD + "$2") if abbreviations else text
+    marked = F.regexp_replace(held, r"([.!?])\s+", "$1" + _MARK)
+    pieces = F.filter(F.split(marked, _MARK), lambda s: s.rlike(r"\S"))
+    return F.transform(pieces, lambda s: F.replace(s, F.lit(_HELD), F.lit(".")))
 
 
 def tokens(text: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.ml.classification import (
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F
 
+from origintrace.sources.staging import broadcast_if_small, stage
+
 
 def class_counts(posts: DataFrame) -> DataFrame:
     """Posts per class; one row per class."""
@@ -33,11 +35,11 @@ def label_index(posts: DataFrame) -> DataFrame:
 def with_weight_and_label(posts: DataFrame, fitted_on: DataFrame | None = None) -> DataFrame:
     """Posts with ``weight`` and ``label``, both from ``fitted_on`` (all posts by default).
 
-    One row per class is joined; the planner broadcasts it by its size.
+    One row per class is joined: broadcast behind a check of how many there are, so posts are not shuffled.
     """
     basis = posts if fitted_on is None else fitted_on
     per_class = class_weights(basis).select("sponsoring_country", "weight").join(label_index(basis), "sponsoring_country")
-    return posts.join(per_class, "sponsoring_country")
+    return posts.join(broadcast_if_small(per_class, "classes"), "sponsoring_country")
 
 
 def logistic_regression(features: str = "tfidf") -> LogisticRegression:
@@ -74,21 +76,24 @@ def predict(kind: str, rows: DataFrame, features: str = "tfidf", parallelism: in
 def named(predictions: DataFrame, labels: DataFrame) -> DataFrame:
     """Predictions with ``result``, the name of the predicted class; ``labels`` is ``label_index``."""
     names = labels.select(F.col("label").alias("prediction"), F.col("sponsoring_country").alias("result"))
-    return predictions.join(names, "prediction", "left")
+    return predictions.join(broadcast_if_small(names, "class-names"), "prediction", "left")
 
 
 def predict_embeddings(
-    rows: DataFrame, n_classes: int, size: int, hidden: list[int] = [32], epochs: int = 10, seed: int = 42
+    rows: DataFrame, hidden: list[int] = [32], epochs: int = 10, seed: int = 42
 ) -> DataFrame:
-    """Neural classifier on ready-made embeddings; ``result`` is the predicted class in an array.
+    """Neural classifier on ready-made embeddings; ``result`` is the predicted class in an array, for ``votes``.
 
-    ``rows`` has tweetid, userid, sponsoring_country, label, is_validation and ``embedding``.
+    ``rows`` has tweetid, userid, sponsoring_country, is_validation and ``embedding``, all of one length.
+    Labels are those of ``label_index``.
     """
-    vectors = rows.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
-    net = MultilayerPerceptronClassifier(layers=[size, *hidden, n_classes], maxIter=epochs, seed=seed)
+    labels = stage(label_index(rows), "labels")
+    labelled = rows.join(broadcast_if_small(labels, "label-of-class"), "sponsoring_country")
+    vectors = labelled.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
+    size = rows.select(F.max(F.size("embedding"))).first()[0]
+    net = MultilayerPerceptronClassifier(layers=[size, *hidden, labels.count()], maxIter=epochs, seed=seed)
     train = vectors.where(~F.col("is_validation")).select("label", "features").persist()
     model = net.fit(train)
     train.unpersist()
-    return model.transform(vectors.where("is_validation")).select(
-        "sponsoring_country", "tweetid", "userid", "label", "prediction"
-    )
+    scored = named(model.transform(vectors.where("is_validation")), labels)
+    return scored.select("sponsoring_country", "tweetid", "userid", "label", "prediction", F.array("result").alias("result"))

@@ -1,7 +1,6 @@
 """Accounts as sets of tokens, kept as rows (account, kind, token).
 
-A busy account is many rows and never one big value; arrays are made at the end, in parts of
-bounded size, and only for export.
+A busy account is many rows like any other account, and never one big value.
 """
 
 from __future__ import annotations
@@ -9,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from origintrace.functions.tokens import normalized
-from origintrace.sources.staging import stage
 
 ACCOUNT = ["is_validation", "sponsoring_country", "userid"]
 
@@ -62,27 +60,9 @@ def token_counts(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy(*ACCOUNT, "kind").agg(F.count("*").alias("n_tokens"))
 
 
-def part_of(token: Column, n_parts: Column) -> Column:
-    """Which of ``n_parts`` parts a token falls in, by its md5."""
-    digits = F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint")
-    return (digits % n_parts).cast("int")
+def user_profiles(posts: DataFrame) -> DataFrame:
+    """The profile of every account as rows (account, kind, token), each token once.
 
-
-def user_profiles(posts: DataFrame, max_array: int = 100_000) -> DataFrame:
-    """One row per account with a sorted token array per kind.
-
-    An account with more than ``max_array`` tokens of a kind has its sets spread over several
-    rows, numbered by ``part``; the union of its parts is the whole set.
+    An account with a third of all posts is many rows like any other, never one value.
     """
-    tokens = stage(user_tokens(posts), "tokens")
-    largest = token_counts(tokens).groupBy(*ACCOUNT).agg(F.max("n_tokens").alias("largest"))
-    split_accounts = largest.where(F.col("largest") > max_array).select(
-        *ACCOUNT, F.ceil(F.col("largest") / F.lit(max_array)).alias("n_parts")
-    )
-    arrays = {k: F.collect_list(F.when(F.col("kind") == k, F.col("token"))) for k in KIND_COLUMNS}
-    return (
-        tokens.join(split_accounts, ACCOUNT, "left")
-        .withColumn("part", F.coalesce(part_of(F.col("token"), F.col("n_parts")), F.lit(0)))
-        .groupBy(*ACCOUNT, "part")
-        .agg(*[F.array_sort(a).alias(k) for k, a in arrays.items()])
-    )
+    return user_tokens(posts).select(*ACCOUNT, "kind", "token")

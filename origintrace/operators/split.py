@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from origintrace.constants import SEED, VALIDATION_SHARE
-from origintrace.sources.staging import stage
+from origintrace.sources.staging import broadcast_if_small, stage
 
 
 def order_key(country: Column, userid: Column, seed: int = SEED) -> Column:
@@ -52,7 +52,7 @@ def cut_keys(
     in_order = in_country.orderBy("key")
     running = F.sum("n_posts").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     return (
-        keyed.join(cut_bucket, ["sponsoring_country", "bucket"])
+        keyed.join(broadcast_if_small(cut_bucket, "cut-buckets"), ["sponsoring_country", "bucket"])
         .withColumn("start", F.col("before") + F.coalesce(running, F.lit(0)))
         .withColumn("rn", F.row_number().over(in_order))
         .where((F.col("start") < F.col("cap")) | (F.col("rn") == 1))

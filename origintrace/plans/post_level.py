@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from origintrace.constants import CLASS_ORDER, MODELLED_COUNTRIES
 from origintrace.operators import classify, clean, features, split, votes
-from origintrace.sources.staging import spread, stage
+from origintrace.sources.staging import stage
 
 POST = ["sponsoring_country", "tweetid", "userid", "is_validation"]
 
@@ -19,7 +19,7 @@ def flagged_posts(posts: DataFrame, countries: list[str] = MODELLED_COUNTRIES) -
 
 def prepared(posts: DataFrame, **options) -> DataFrame:
     """Posts with their tokens, staged: fitting IDF and transforming both read them."""
-    tokens = features.prepare_text(spread(posts, "tweetid"), **options)
+    tokens = features.prepare_text(posts, **options)
     return stage(tokens.select(*POST, "ntokens"), "prepared")
 
 

@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _local_folders: dict[str, str] = {}
+_runs: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,8 +32,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other run uses."""
-    app = spark.sparkContext.applicationId
-    return f"{shared_folder(spark)}/origintrace/{app}/{name}-{uuid.uuid4().hex[:12]}"
+    within = [spark.sparkContext.applicationId, *_runs[-1:]]
+    return "/".join([shared_folder(spark), "origintrace", *within, f"{name}-{uuid.uuid4().hex[:12]}"])
 
 
 def staged_path(df: DataFrame, name: str) -> str:
@@ -49,10 +52,25 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows of a scan over all cores, before a step that costs much per row.
+#: Rows up to which a table of classes, countries or the like is sent to every executor.
+BROADCAST_ROWS = 10_000
+
+
+def broadcast_if_small(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` staged, and marked for broadcast if it has at most ``rows`` rows; else joined as Spark sees fit."""
+    staged = stage(df, name)
+    return F.broadcast(staged) if staged.limit(rows + 1).count() <= rows else staged
+
 
-    A scan of many files is spread already and is left alone.
-    """
-    n = shuffle_partitions(df.sparkSession)
-    return df.repartition(n, key) if len(df.inputFiles()) < n else df
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end whatever is staged inside; results must have been written or collected by then."""
+    run = uuid.uuid4().hex[:12]
+    _runs.append(run)
+    try:
+        yield
+    finally:
+        _runs.remove(run)
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/origintrace/{spark.sparkContext.applicationId}/{run}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

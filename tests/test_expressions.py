@@ -52,7 +52,8 @@ def test_tokens(spark, text, expected):
     assert one(spark, text, "string", txt.tokens) == expected
 
 
-@pytest.mark.parametrize("text, n", [("One. Two! Three?", 3), ("No end", 1), ("v1.2 is out. Yes", 2), ("", 1)])
+@pytest.mark.parametrize("text, n", [("One. Two! Three?", 3), ("No end", 1), ("v1.2 is out. Yes", 2), ("", 0), ("Hello there. ", 1),
+                                      ("Dr. Smith left. So did Mr. Jones.", 2), (" \n ", 0)])
 def test_sentences(spark, text, n):
     assert len(one(spark, text, "string", txt.sentences)) == n
 

@@ -7,10 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from checks import oracle, queries as registered
 from checks.compare import TABLES, rows
 
-SQL = entry.oracle_sql()
-QUERIES = entry.queries()
+SQL = oracle.oracle_sql()
+QUERIES = registered.queries()
 WITH_PYTHON = {"prepare_text_stemmed", "stem_vocabulary"}
 
 
