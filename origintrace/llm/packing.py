@@ -13,6 +13,7 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from origintrace.llm.columns import fresh, quoted
@@ -33,17 +34,18 @@ def pieces_of(documents: DataFrame, tokenizer: str, id_column: str = "doc_id", t
     kind = documents.schema[id_column].dataType.simpleString()
 
     def cut(batches):
-        enc = encoder(tokenizer)
+        enc, names = encoder(tokenizer), ["doc_id", "piece", "start", "length", "ids_crc32"]
         for batch in batches:
-            for k in range(0, len(batch), 512):
-                part, rows = batch.iloc[k : k + 512], []
-                for doc, data in zip(part["doc_id"], enc.encode_many(part["text"].tolist())):
-                    ids = np.concatenate([np.frombuffer(data, dtype=enc.dtype), [END_ID]]).astype("<u4")
+            kinds = [batch.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            for k in range(0, batch.num_rows, 256):  # few texts at a time are Python objects
+                part, rows = batch.slice(k, 256), []
+                for doc, data in zip(part.column("doc_id").to_pylist(), enc.encode_many(part.column("text").to_pylist())):
+                    ids = np.append(np.frombuffer(data, dtype=enc.dtype), enc.dtype.type(END_ID)).astype("<u4")
                     rows += [(doc, i // capacity, i, min(capacity, len(ids) - i), zlib.crc32(ids[i : i + capacity])) for i in range(0, len(ids), capacity)]
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     rows = documents.select(F.col(id_column).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInPandas(cut, PIECE.format(id=kind))
+    return rows.mapInArrow(cut, PIECE.format(id=kind))
 
 
 def best_fit(sizes: np.ndarray, order, place: np.ndarray, room: list[int], capacity: int) -> None:

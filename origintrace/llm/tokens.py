@@ -14,7 +14,7 @@ import numpy as np
 import regex
 
 #: Entries per generation of a memo; words longer than ``LONGEST`` are not kept.
-GENERATION, LONGEST = 200_000, 40
+GENERATION, LONGEST = 150_000, 40
 #: What the tokenizer file defines: how a normalised text falls into pieces, and the end of a piece.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 END_OF_PIECE = "</w>"
