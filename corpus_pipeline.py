@@ -3,6 +3,9 @@
 Every stage reads what the one before has written, whole. Quality and toxicity drop what they reject, near
 duplicates leave one document of each group, mixing repeats documents of small sources, and packing lays out
 what is left.
+
+Stages hand whole texts to Python, and the memory for that goes with the texts of one Arrow batch. So the stages
+ask for batches of few rows and bytes; the settings are the session's and stay there, as results are lazy.
 """
 
 from __future__ import annotations
@@ -16,6 +19,13 @@ from origintrace.sources.staging import stage
 
 #: The flattest mix in which no source is passed over more than one and a half times, and none less than once.
 MIX = mixing.Target(repeats=1.5)
+#: Rows and bytes of an Arrow batch of texts, at most (one longer text is a batch of its own).
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,18 +34,21 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose quality score reaches the threshold. Null and empty texts are scored like others."""
+    _small_batches(spark)
     model = quality_crf.fit(docs, _labels(spark, sf_dir))
     return docs.where(model.score("text") >= quality_crf.THRESHOLD)
 
 
 def nontoxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose expected severity stays below the threshold. Null and empty texts stay."""
+    _small_batches(spark)
     model = toxicity.fit(docs, _labels(spark, sf_dir))
     return docs.where(model.severity("text") < toxicity.THRESHOLD)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest id."""
+    _small_batches(spark)
     return simhash.keep_one(docs, width=3, distance=3)
 
 
@@ -47,6 +60,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where every piece of every document lies in the training sequences."""
+    _small_batches(spark)
     return packing.pack(packing.pieces_of(docs, default_tokenizer()))
 
 
