@@ -132,13 +132,14 @@ def search(table: DataFrame, k: int = 20, every: int = 20, id_column: str = "vec
     length only, the smallest of several. Of rows that repeat an id and vector, one is returned.
     """
     rows = prepared(table, id_column, vector).where(F.exists("v", lambda x: x != 0))
-    rows = stage(rows, "vectors")
+    # one row for each id and vector before any cut to k, with a number that tells its copies in several lists
+    rows = stage(rows.dropDuplicates(["id", "v"]).withColumn("row", F.monotonically_increasing_id()), "vectors")
     sizes = rows.groupBy("dim").agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("s"))
     common = sizes.orderBy(F.desc("n"), "dim").first()
     schema = "query_id long, rank int, vec_id long, score double"
     if common is None:
         return table.sparkSession.createDataFrame([], schema)
-    rows = rows.where(F.col("dim") == common.dim).select("id", "v")
+    rows = rows.where(F.col("dim") == common.dim).select("id", "v", "row")
     share = min(1.0, SAMPLE / common.n)
     picked = rows.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy("id").limit(2 * SAMPLE).collect()
     picked = picked or rows.limit(1).collect()
@@ -152,7 +153,7 @@ def search(table: DataFrame, k: int = 20, every: int = 20, id_column: str = "vec
                 part = batch.iloc[i : i + 1024]
                 at = shared.value
                 chosen = _selected(at.near(at.lifted(np.stack(part["v"].to_numpy())), ASSIGN_WIDTH), BOUNDARY, 1, REPLICAS)
-                yield pd.DataFrame({"id": part["id"], "v": part["v"], "lists": chosen})
+                yield pd.DataFrame({"id": part["id"], "v": part["v"], "row": part["row"], "lists": chosen})
 
     def aim(batches):
         for batch in batches:
@@ -163,34 +164,34 @@ def search(table: DataFrame, k: int = 20, every: int = 20, id_column: str = "vec
                 yield pd.DataFrame({"id": part["id"], "v": part["v"], "lists": chosen})
 
     member = "id long, v array<double>, lists array<int>"
-    postings = rows.mapInPandas(assign, member).select("id", "v", F.explode("lists").alias("list"))
+    postings = rows.mapInPandas(assign, "id long, v array<double>, row long, lists array<int>").select("id", "v", "row", F.explode("lists").alias("list"))
     postings = stage(postings, "postings")
     parts = postings.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     parts = stage(parts, "list-sizes")
-    postings = postings.join(parts, "list").select("list", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), "id", "v")
+    postings = postings.join(parts, "list").select("list", F.pmod(F.xxhash64("row"), "parts").cast("int").alias("part"), "id", "v", "row")
     queries = query_rows(rows.withColumn("dim", F.lit(common.dim)), every).select("id", "v")
     aimed = stage(queries.mapInPandas(aim, member), "aimed")
 
     def compare(key, asked, held):
         if not len(asked) or not len(held):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+            return pd.DataFrame({"query_id": [], "vec_id": [], "row": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "row": "int64"})
         q, v = (np.stack(p["v"].to_numpy()) for p in (asked, held))
         q_ids, v_ids = asked["id"].to_numpy(np.int64), held["id"].to_numpy(np.int64)
         x, y, score = best_products(q, v, q_ids, v_ids, asked["floor"].to_numpy(np.float64), k)
-        return pd.DataFrame({"query_id": q_ids[x], "vec_id": v_ids[y], "score": score})
+        return pd.DataFrame({"query_id": q_ids[x], "vec_id": v_ids[y], "row": held["row"].to_numpy(np.int64)[y], "score": score})
 
     def visit(asked: DataFrame) -> DataFrame:
         asked = asked.join(parts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "v", "floor")
-        return asked.groupBy("list", "part").cogroup(postings.groupBy("list", "part")).applyInPandas(compare, "query_id long, vec_id long, score double")
+        return asked.groupBy("list", "part").cogroup(postings.groupBy("list", "part")).applyInPandas(compare, "query_id long, vec_id long, row long, score double")
 
     floor = F.lit(float("-inf"))
     first = visit(aimed.select("id", "v", floor.alias("floor"), F.explode(F.slice("lists", 1, FIRST_LISTS)).alias("list")))
-    first = stage(best_per_query(first.distinct(), k), "first-lists")
+    first = stage(best_per_query(first.distinct(), k, "row"), "first-lists")
     floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("reached")).withColumnRenamed("query_id", "id")
     rest = aimed.join(floors, "id", "left").select(
         "id", "v", F.coalesce("reached", floor).alias("floor"), F.explode(F.slice("lists", FIRST_LISTS + 1, MAX_LISTS)).alias("list")
     )
-    found = visit(rest).unionByName(first.select("query_id", "vec_id", "score"))
+    found = visit(rest).unionByName(first.select("query_id", "vec_id", "row", "score"))
     best = stage(best_per_query(found.distinct(), k), "nearest")
     # a query whose lists hold fewer than k candidates visits all lists
     reached = best.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("id"))

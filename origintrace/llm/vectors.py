@@ -23,10 +23,10 @@ def query_rows(rows: DataFrame, every: int) -> DataFrame:
     return rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct("v", "dim")).alias("s")).select("id", "s.v", "s.dim")
 
 
-def best_per_query(found: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` greatest scores of a query, ties to the smaller id."""
+def best_per_query(found: DataFrame, k: int, *more: str) -> DataFrame:
+    """(query_id, rank, vec_id, score) and ``more``: the ``k`` greatest scores of a query, ties to the smaller id."""
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", *more)
 
 
 def top(query: np.ndarray, score: np.ndarray, ident: np.ndarray, k: int) -> np.ndarray:

@@ -65,6 +65,18 @@ def test_posting_lists_reach_their_recall(spark, points):
         assert all(a < b for (a, s), (b, t) in zip(r, r[1:]) if s == t)
 
 
+def test_posting_lists_lose_no_neighbour_to_repeated_rows(spark):
+    rng = np.random.default_rng(5)
+    ids, x = np.arange(80), rng.normal(size=(80, 4)).astype(np.float32)
+    copies = np.concatenate([ids, np.repeat(np.arange(1, 61, 6), 30)])
+    found, want = collected(posting_lists.search(table(spark, copies, x[copies]))), brute(ids, x.astype(np.float64), 20, 20)
+    assert {q: [i for i, _ in r] for q, r in found.items()} == {q: [i for i, _ in r] for q, r in want.items()}
+    # other vectors of one id are rows of their own, also with equal scores
+    rows = [(0, [1.0, 0.0])] + [(1, [0.5, j / 64]) for j in range(25)] + [(i, [0.25, i]) for i in range(2, 12)]
+    found = collected(posting_lists.search(table(spark, *zip(*rows)), k=30))[0]
+    assert found == [(1, 0.5)] * 25 + [(i, 0.25) for i in range(2, 7)]
+
+
 @pytest.mark.parametrize("search, every", [(cover_tree.search, 50), (posting_lists.search, 20)])
 def test_odd_vectors(spark, search, every):
     inf, nan = float("inf"), float("nan")
