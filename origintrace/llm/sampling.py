@@ -14,7 +14,8 @@ def fold(id_column: str | Column, folds: int = 5) -> Column:
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, hold_out: int, bound: int) -> DataFrame:
     """(text, label) of about ``bound`` labelled documents at most, never of fold ``hold_out`` of five.
 
-    Ids are taken by hash, so the sample does not depend on partitioning. Ids labelled several times take
+    Ids are taken by their 63-bit hash, so the sample does not depend on partitioning; the least hash is always
+    taken, so a sample of any number of labels has one at least. Ids labelled several times take
     their greatest label; null ids and null labels are left out. The sampled labels, at most about ``bound``
     rows, are broadcast, so documents are not shuffled.
     """
@@ -22,8 +23,9 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, hold_ou
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold("doc_id") != hold_out))
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("__label"))
     )
-    share = min(1.0, bound / max(1, known.count()))
-    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    place = F.xxhash64("doc_id", F.lit(17)).bitwiseAND((1 << 63) - 1)
+    n, least = known.agg(F.count("*"), F.min(place)).first()
+    picked = known if n <= bound else known.where(place <= max(int(bound / n * (1 << 63)), least))
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("__text"))
     joined = texts.join(F.broadcast(picked), "doc_id")
     return joined.select(F.col("__text").alias("text"), F.col("__label").alias("label"))

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from origintrace.llm import language_model, mixing, packing, quality_crf, simhash, token_shards, toxicity
+from origintrace.llm import language_model, mixing, packing, quality_crf, sampling, simhash, token_shards, toxicity
 from origintrace.llm.columns import fresh
 from origintrace.llm.components import components
 from origintrace.llm.tokens import default_tokenizer, encoder
@@ -210,6 +210,11 @@ def test_quality_on_held_out_documents(spark, documents):
     assert np.mean([(r.s >= quality_crf.THRESHOLD) == (r.quality == 1) for r in test]) > 0.95
 
 
+def test_a_sample_of_very_many_labels_is_not_empty(spark):
+    many = spark.range(2_200_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit(1).alias("toxic"))
+    assert 1 <= sampling.labelled_sample(many, many, "toxic", 1, 1).count() <= 20
+
+
 def test_marginals_equal_enumeration():
     from itertools import product
 
