@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from origintrace.llm import (
-    cover_tree, language_model, mixing, packing, posting_lists, quality_crf, simhash, token_shards, toxicity, warc,
+    cover_tree, language_model, line_dedup, merkle, mixing, packing, posting_lists, quality_crf, simhash, spelling, token_shards,
+    toxicity, warc,
 )
 from origintrace.llm.sampling import fold
 from origintrace.llm.tokens import default_tokenizer
 
 #: What ``op8_mixing`` aims at: the flattest mix in which no source is passed over more than so often.
 MIX = mixing.Target(repeats=2.0)
+#: What a leaf of ``op13_merkle`` covers, in this order.
+MANIFEST = ["doc_id", "source", "lang", "n_chars", "text"]
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -70,6 +73,30 @@ def op10_simhash(spark, d):
     return found.select(F.col("id").alias("doc_id"), simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op11_line_dedup(spark, d):
+    kept = line_dedup.drop_repeated_lines(_table(spark, d, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_spelling(spark, d):
+    return spelling.variants(spelling.word_counts(_table(spark, d, "documents"), noise=97))
+
+
+def op13_merkle(spark, d):
+    changed = [F.col("n_chars").cast("decimal(38,0)") + 1 if c == "n_chars" else F.col(c) for c in MANIFEST]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, merkle.leaf(*changed)).otherwise(merkle.leaf(*MANIFEST))
+    proved = merkle.manifest(
+        _table(spark, d, "documents"), MANIFEST, group="lang", order="doc_id", keep={"doc_id": F.col("doc_id"), "tampered": tampered}
+    )
+    folded = merkle.folded("tampered", "witness", "position", "nodes", "group_position", "groups")
+    text = merkle.hexadecimal
+    return proved.withColumn("folded", folded).select(
+        "doc_id", text("leaf").alias("leaf"), text("subroot").alias("subroot"), text("root").alias("root"),
+        F.sha2(text("witness").cast("binary"), 256).alias("proof_sha256"), text("folded").alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
 def queries():
     return {
         "op1_cover_tree": op1_cover_tree,
@@ -82,4 +109,7 @@ def queries():
         "op8_mixing": op8_mixing,
         "op9_posting_lists": op9_posting_lists,
         "op10_simhash": op10_simhash,
+        "op11_line_dedup": op11_line_dedup,
+        "op12_spelling": op12_spelling,
+        "op13_merkle": op13_merkle,
     }
