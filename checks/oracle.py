@@ -246,6 +246,24 @@ cte("routed", ["corrected"], f"""
   select *, string_split(substr(corrected_name, length(sponsoring_country) + 2), '_')[1] as release
   from (select *, case {_owner} end as sponsoring_country from corrected) q""")
 
+_dated = "lpad(cast(c_custkey % 12 + 1 as varchar), 2, '0')"
+_undone = "table_name"
+for a, b in RELEASE_RENAMES.items():
+    _undone = f"replace({_undone}, '{a}', '{b}')"
+cte("account_dumps", [], f"""
+  select sponsoring_country, string_split(substr(corrected_name, length(sponsoring_country) + 2), '_')[1] as release, * exclude (sponsoring_country) from (
+    select *, {_undone} as corrected_name from (
+      select case c_nationkey % 10 {_countries} end as sponsoring_country,
+        case c_nationkey % 10 {_countries} end || '_' || case when c_custkey % 12 + 1 in (8, 11) then {_dated} || '2019'
+          else '2019' || {_dated} end || '_users_csv_hashed' as table_name,
+        cast(c_custkey as varchar) as userid, c_name as user_display_name,
+        case when c_custkey % 4 <> 0 then 'u' || c_custkey end as user_screen_name, n_name as user_reported_location,
+        'said "' || c_mktsegment || '",' || chr(10) || 'then left' as user_profile_description,
+        'http://u.example/' || c_mktsegment as user_profile_url, cast(c_custkey % 1000 as varchar) as follower_count,
+        cast(c_custkey % 77 as varchar) as following_count,
+        '2015-01-' || lpad(cast(c_custkey % 28 + 1 as varchar), 2, '0') as account_creation_date, 'en' as account_language
+      from customer join nation on c_nationkey = n_nationkey) q) r""")
+
 # --- minhash -----------------------------------------------------------------------------------------------
 _x = f"(('0x' || substr(md5(token), 1, 8))::bigint % {PRIME})"
 cte("numbered", ["sets"], f"select *, {_x} as x from sets")
@@ -287,9 +305,20 @@ def oracle_sql() -> dict[str, str]:
         "filter_lang": chain(f"select {post_columns} from posts where tweet_language = 'en'", "posts"),
         "clean_posts": chain(f"select {clean_columns} from clean", "clean"),
         "ingest_csv": chain(
-            f"select r.corrected_name as table_name, r.sponsoring_country, r.release, p.tweetid, p.userid, "
-            "p.tweet_text, p.tweet_language, p.hashtags, p.urls, p.user_mentions "
+            "select r.corrected_name as table_name, r.sponsoring_country, r.release, p.tweetid, p.userid, "
+            "p.tweet_text, p.tweet_language, p.hashtags, "
+            "case when length(r.table_name) % 3 <> 2 then p.urls end as urls, p.user_mentions "
             "from posts p join routed r on p.tweetid = cast(r.o_orderkey as varchar)", "posts", "routed"),
+        "combined_users": chain(f"select * exclude (table_name, corrected_name) from account_dumps", "account_dumps"),
+        "ingest_manifest": chain(
+            "select corrected_name as table_name, sponsoring_country, release, length(table_name) % 2 = 0 as damaged, "
+            "case when o_orderstatus = 'F' then 'users' else 'tweets' end as kinds, "
+            "case when o_orderstatus <> 'F' and length(table_name) % 3 = 1 then 'tweet_language' else '' end as missing, "
+            "case when o_orderstatus <> 'F' and length(table_name) % 3 = 1 then 'note' else '' end as extra, "
+            "count(*) as n, 0::bigint as rejected, "
+            "sum(case when o_orderstatus = 'F' then o_custkey else o_orderkey end)::bigint as total "
+            "from (select r.*, o.o_custkey, case when o.o_orderstatus = 'F' then 'F' else 'O' end as o_orderstatus "
+            "from routed r join orders o using (o_orderkey)) q group by all", "routed"),
         "union_releases": chain(
             "select sponsoring_country, case sponsoring_country "
             + " ".join(f"when '{c}' then '2019{i + 1:02}'" for i, c in enumerate([*CLASS_ORDER, "spain"]))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from checks.oracle import DOC_CLASSES, N_TABLES
-from origintrace.constants import CLASS_ORDER
+from origintrace.constants import CLASS_ORDER, USER_COLUMNS
 from origintrace.functions import text as txt
 from origintrace.functions.tokens import concat_arrays, drop_link_tokens, normalized_list
 from origintrace.operators import (
@@ -74,19 +76,85 @@ def clean_posts(spark, d):
 INGESTED = ["tweetid", "userid", "tweet_text", "tweet_language", "hashtags", "urls", "user_mentions"]
 
 
+def _write_dumps(rows: DataFrame, folder: str, **options) -> None:
+    """One folder of CSV files per ``table_name``, added to what is there."""
+    writer = rows.hint("rebalance", "table_name").write.mode("append").partitionBy("table_name").option("header", True).option("escape", '"')
+    writer.options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **options).csv(folder)
+
+
 def ingest_csv(spark, d):
-    """Posts written as one CSV dump per raw table name, then read back as dumps are."""
+    """Posts written as one CSV dump per raw table name, then read back as dumps are.
+
+    By the length of their name, some dumps have their columns in another order and one more, some lack one.
+    """
     names = fixtures.dump_names(spark, d).select(F.col("o_orderkey").cast("string").alias("tweetid"), "table_name")
-    folder = new_folder(spark, "dumps")
-    (
-        fixtures.posts(spark, d).select(*INGESTED).join(names, "tweetid").hint("rebalance", "table_name")
-        .write.partitionBy("table_name").option("header", True).option("escape", '"')
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
-    )
+    posts = stage(fixtures.posts(spark, d).select(*INGESTED).join(names, "tweetid"), "posts")
+    folder, rule = new_folder(spark, "dumps"), F.length("table_name") % 3
+    _write_dumps(posts.where(rule == 0), folder)
+    _write_dumps(posts.where(rule == 1).select(*INGESTED[::-1], F.lit("x, y").alias("note"), "table_name"), folder)
+    _write_dumps(posts.where(rule == 2).drop("urls"), folder)
     rows = dumps.read_dumps(spark, folder, text_schema(INGESTED))
     return dumps.accepted(rows).select("table_name", "sponsoring_country", "release", *INGESTED)
 
 
+def combined_users(spark, d):
+    """Account and post dumps in one folder; the rows of all account dumps."""
+    folder = new_folder(spark, "dumps")
+    _write_dumps(fixtures.accounts(spark, d), folder)
+    orders = fixtures.table(spark, d, "orders").select(F.col("o_orderkey").alias("tweetid"), F.col("o_custkey").alias("userid"), "o_orderkey")
+    routed = catalog.route_tables(fixtures.dump_names(spark, d), "tweets").select("o_orderkey", "table_name")
+    _write_dumps(orders.join(routed, "o_orderkey").drop("o_orderkey"), folder)
+    rows = dumps.accepted(dumps.ingest(spark, folder).rows["users"])
+    return clean.united(rows, USER_COLUMNS, language=None)
+
+
+def _delivered(spark, folder: str) -> str:
+    """A copy of the compressed dumps of a folder, some with the beginning of one more part and then nothing."""
+    copies = new_folder(spark, "delivered")
+
+    def copy(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for path, table in zip(batch["path"], batch["table_name"]):
+                system, where = fs.FileSystem.from_uri(path)
+                out, place = fs.FileSystem.from_uri(f"{copies}/table_name={table}")
+                out.create_dir(place, recursive=True)
+                with system.open_input_stream(where, compression=None) as source, out.open_output_stream(
+                    f"{place}/{path.rsplit('/', 1)[1]}", compression=None
+                ) as sink:
+                    while piece := source.read(1 << 20):
+                        sink.write(piece)
+                    if len(table) % 2 == 0:
+                        sink.write(gzip.compress(b"1,2,3\n" * 1000)[:20])
+            yield batch[["path"]]
+
+    dumps.list_dumps(spark, folder).select("path", "table_name").mapInPandas(copy, "path string").write.format("noop").mode("overwrite").save()
+    return copies
+
+
+def ingest_manifest(spark, d):
+    """Compressed dumps of both kinds, some cut off, some with other columns: what each file is, and the rows read of it."""
+    names = fixtures.dump_names(spark, d)
+    orders = fixtures.table(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").alias("tweetid"), F.col("o_custkey").alias("userid"))
+    rows = stage(orders.join(names, "o_orderkey").withColumns({"tweet_language": F.lit("en"), "account_language": F.lit("fr")}), "orders")
+    folder, post = new_folder(spark, "dumps"), F.col("table_name").like("%tweets%")
+    other = F.length("table_name") % 3 == 1
+    _write_dumps(rows.where(post & ~other).select("tweetid", "userid", "tweet_language", "table_name"), folder, compression="gzip")
+    _write_dumps(rows.where(post & other).select("userid", F.lit("x").alias("note"), "tweetid", "table_name"), folder, compression="gzip")
+    _write_dumps(rows.where(~post).select("account_language", "userid", "table_name"), folder, compression="gzip")
+    kinds = {"tweets": text_schema(["tweetid", "userid", "tweet_language"]), "users": text_schema(["userid", "account_language"])}
+    found = dumps.ingest(spark, _delivered(spark, folder), kinds)
+    files = found.manifest.groupBy("table_name", "sponsoring_country", "release").agg(
+        F.bool_or(F.col("error").isNotNull()).alias("damaged"), F.array_join(F.max("kinds"), " ").alias("kinds"),
+        F.array_join(F.max("missing"), " ").alias("missing"), F.array_join(F.max("extra"), " ").alias("extra"),
+    )
+    count = lambda kind, value: found.rows[kind].groupBy("table_name").agg(
+        F.count("*").alias("n"), F.count(CORRUPT).alias("rejected"), F.sum(F.col(value).cast("long")).alias("total")
+    )
+    return files.join(count("tweets", "tweetid").unionByName(count("users", "userid")), "table_name", "left")
+
+
 def ingest_quarantine(spark, d):
     """Orders as dump lines, with a cell too few where the order is of status P; rejected lines by table."""
     names = fixtures.dump_names(spark, d)
@@ -328,6 +396,8 @@ def queries():
         "union_releases": union_releases,
         "ingest_csv": ingest_csv,
         "ingest_quarantine": ingest_quarantine,
+        "ingest_manifest": ingest_manifest,
+        "combined_users": combined_users,
         "filter_lang": filter_lang,
         "clean_posts": clean_posts,
         "tweets_per_user": tweets_per_user,

@@ -29,6 +29,12 @@ def combine(tables: list[tuple[str, str, DataFrame]], columns: list[str], langua
     return in_language(union, language) if language else union
 
 
+def united(rows: DataFrame, columns: list[str], language: str | None = LANGUAGE) -> DataFrame:
+    """The same from dumps that were read as one table, with country and release by file name."""
+    kept = rows if language is None else in_language(rows, language)
+    return kept.where(F.col("sponsoring_country").isNotNull()).select("sponsoring_country", "release", *columns)
+
+
 def in_language(posts: DataFrame, language: str = LANGUAGE) -> DataFrame:
     return posts.where(F.col("tweet_language") == language)
 

@@ -102,6 +102,28 @@ def dump_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer as a row of an account dump, with the raw table it would arrive in."""
+    key = F.col("c_custkey")
+    country = F.element_at(F.array(*[F.lit(c) for c in COUNTRIES]), F.col("c_nationkey") % len(COUNTRIES) + 1)
+    month = F.lpad(_text(key % 12 + 1), 2, "0")
+    release = F.when((key % 12 + 1).isin(8, 11), F.concat(month, F.lit("2019"))).otherwise(F.concat(F.lit("2019"), month))
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    return customers.join(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey")).select(
+        _text(key).alias("userid"),
+        F.col("c_name").alias("user_display_name"),
+        F.when(key % 4 != 0, F.concat(F.lit("u"), _text(key))).alias("user_screen_name"),
+        F.col("n_name").alias("user_reported_location"),
+        F.concat(F.lit('said "'), "c_mktsegment", F.lit('",\nthen left')).alias("user_profile_description"),
+        F.concat(F.lit("http://u.example/"), "c_mktsegment").alias("user_profile_url"),
+        _text(key % 1000).alias("follower_count"),
+        _text(key % 77).alias("following_count"),
+        F.concat(F.lit("2015-01-"), F.lpad(_text(key % 28 + 1), 2, "0")).alias("account_creation_date"),
+        F.lit("en").alias("account_language"),
+        F.concat_ws("_", country, release, F.lit("users_csv_hashed")).alias("table_name"),
+    )
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document is a post and its language the class to predict."""
     return table(spark, sf_dir, "documents").select(
