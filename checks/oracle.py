@@ -8,8 +8,9 @@ from __future__ import annotations
 import re
 
 from origintrace.constants import (
-    ABBREVIATIONS, CLASS_ORDER, COUNTRIES, MODELLED_COUNTRIES, RELEASE_RENAMES, STOP_WORDS, TABLE_RENAMES,
+    ABBREVIATIONS, CLASS_ORDER, COUNTRIES, HASH_DIMENSIONS, MODELLED_COUNTRIES, RELEASE_RENAMES, STOP_WORDS, TABLE_RENAMES,
 )
+from origintrace.functions.stemming import STEP_2, STEP_3, STEP_4
 from origintrace.functions.tokens import WHITESPACE
 from origintrace.operators.minhash import PRIME, coefficients
 
@@ -192,7 +193,138 @@ _words = r"""list_filter(string_split_regex(
 cte("words", ["docs"], f"select *, {_words} as words from docs")
 cte("kept_words", ["words"], f"""
   select *, list_filter(words, lambda t: lower(t) not in ({text_list(STOP_WORDS)})) as kept from words""")
-LINKS = "t <> '.' and not starts_with(t, 'https://t.co/') and not starts_with(t, 'http://t.co/')"
+
+
+def no_link(token: str) -> str:
+    return f"{token} <> '.' and not starts_with({token}, 'https://t.co/') and not starts_with({token}, 'http://t.co/')"
+
+
+
+# --- stems, step by step over the distinct words; conditions read the word in front of a suffix ----
+def measured(part: str) -> str:
+    """How often a consonant follows a vowel in a string of c and v."""
+    return f"len(regexp_extract_all({part}, 'vc'))"
+
+
+def shaped(word: str) -> str:
+    return (f"list_reduce(list_concat([''], string_split({word}, '')), lambda s, x: s || case when x in ('a', 'e', 'i', 'o', 'u') "
+            "or (x = 'y' and s[-1:] = 'c') then 'v' else 'c' end)")
+
+
+def stem_step(name: str, before: str, word: str) -> None:
+    """The words after a step, with their shape; words of two letters stay."""
+    cte(name, [before], f"""
+      select low, uses, w, {shaped('w')} as s from (
+        select low, uses, case when length(low) <= 2 then w else {word} end as w from {before}) q""")
+
+
+def without(n: int | str, column: str = "w") -> str:
+    return f"left({column}, greatest(length({column}) - {n}, 0))"
+
+
+def suffix_step(name: str, before: str, table: dict[str, str], least: int, more: str = "true") -> None:
+    """The longest suffix of the table that the word ends in, if the measure before it is over ``least``."""
+    ends = " ".join(f"when ends_with(w, '{k}') then '{k}'" for k in sorted(table, key=len, reverse=True))
+    stands = " ".join(f"when '{k}' then '{v}'" for k, v in table.items())
+    cte(f"{name}_suffix", [before], f"select *, case {ends} else '' end as x from {before}")
+    stem_step(name, f"{name}_suffix", (
+        f"case when x <> '' and {measured(without('length(x)', 's'))} > {least} and ({more}) "
+        f"then {without('length(x)')} || case x {stands} end else w end"))
+
+
+def short(word: str, shape: str) -> str:
+    return f"({shape}[-3:] = 'cvc' and {word}[-1:] not in ('w', 'x', 'y'))"
+
+
+cte("vocabulary", ["words"], f"""
+  select low, uses, low as w, {shaped('low')} as s from (
+    select lower(word) as low, count(*) as uses from (select unnest(words) as word from words) q group by 1) v""")
+stem_step("stem_1a", "vocabulary", (
+    f"case when ends_with(w, 'sses') or ends_with(w, 'ies') then {without(2)} when ends_with(w, 'ss') then w "
+    f"when ends_with(w, 's') then {without(1)} else w end"))
+_bare = (f"case when ends_with(w, 'eed') then '' when ends_with(w, 'ed') and contains({without(2, 's')}, 'v') then {without(2)} "
+         f"when ends_with(w, 'ed') then '' when ends_with(w, 'ing') and contains({without(3, 's')}, 'v') then {without(3)} else '' end")
+cte("stem_1b_bare", ["stem_1a"], f"select *, {_bare} as b, {shaped(f'({_bare})')} as bs from stem_1a")
+stem_step("stem_1b", "stem_1b_bare", (
+    f"case when ends_with(w, 'eed') and {measured(without(3, 's'))} > 0 then {without(1)} when b = '' then w "
+    "when ends_with(b, 'at') or ends_with(b, 'bl') or ends_with(b, 'iz') then b || 'e' "
+    f"when bs[-2:] = 'cc' and b[-1:] = b[-2:-2] and b[-1:] not in ('l', 's', 'z') then {without(1, 'b')} "
+    f"when {measured('bs')} = 1 and {short('b', 'bs')} then b || 'e' else b end"))
+stem_step("stem_1c", "stem_1b", f"case when ends_with(w, 'y') and contains({without(1, 's')}, 'v') then {without(1)} || 'i' else w end")
+suffix_step("stem_2", "stem_1c", STEP_2, 0)
+suffix_step("stem_3", "stem_2", STEP_3, 0)
+suffix_step("stem_4", "stem_3", dict.fromkeys(STEP_4, ""), 1, f"x <> 'ion' or {without(3)}[-1:] in ('s', 't')")
+stem_step("stem_5a", "stem_4", (
+    f"case when ends_with(w, 'e') and ({measured(without(1, 's'))} > 1 or {measured(without(1, 's'))} = 1 "
+    f"and not {short(without(1), without(1, 's'))}) then {without(1)} else w end"))
+stem_step("stems", "stem_5a", f"case when ends_with(w, 'll') and {measured(without(1, 's'))} > 1 then {without(1)} else w end")
+cte("stemmed_words", ["words", "stems"], f"""
+  select tweetid, place, w as token from (
+    select tweetid, unnest(words) as word, generate_subscripts(words, 1) as place from words) t
+  join stems on low = lower(word) where w not in ({text_list(STOP_WORDS)}) and {no_link("w")}""")
+cte("stemmed_tf", ["stemmed_words"], "select tweetid, token as term, count(*) as tf from stemmed_words group by all")
+
+
+# 32-bit MurmurHash3 of the UTF-8 bytes, in unsigned 64-bit numbers; the multipliers are those of its publication.
+def product(a: str, b: int) -> str:
+    return f"((({a}) * {b}::ubigint) & 4294967295::ubigint)"
+
+
+def turned(x: str, bits: int) -> str:
+    return f"(((({x}) << {bits}) | (({x}) >> {32 - bits})) & 4294967295::ubigint)"
+
+
+def mixed(k: str) -> str:
+    return product(turned(product(k, 0xCC9E2D51), 15), 0x1B873593)
+
+
+def folded(h: str, bits: int) -> str:
+    return f"xor({h}, ({h}) >> {bits})"
+
+
+def little_endian(start: str, n: str) -> str:
+    """The number in ``n`` bytes of the hexadecimal ``x`` from byte ``start``, lowest byte first."""
+    return (f"list_sum(list_transform(range({n}), lambda j: ('0x' || substr(x, 2 * ({start} + j)::int + 1, 2))::bigint << (8 * j)::int))::ubigint")
+
+
+cte("hashed_words", ["stemmed_tf"], f"""
+  select term, {folded('c', 16)} as hash from (select term, {product(folded('b', 13), 0xC2B2AE35)} as c from (
+    select term, {product(folded('a', 16), 0x85EBCA6B)} as b from (
+      select term, xor(case when n % 4 = 0 then h else xor(h, {mixed(little_endian('n - n % 4', 'n % 4'))}) end, n::ubigint) as a from (
+        select *, list_reduce(list_concat([42::ubigint], list_transform(range(n // 4), lambda i: {little_endian('4 * i', '4')})),
+          lambda h, k: ({product(turned(f"xor(h, {mixed('k')})", 13), 5)} + 3864292196::ubigint) & 4294967295::ubigint) as h
+        from (select term, hex(encode(term)) as x, length(hex(encode(term))) // 2 as n from (select distinct term from stemmed_tf) d) e) f) g) i) j""")
+cte("slotted", ["stemmed_tf", "hashed_words"], f"""
+  select t.*, (((case when hash >= 2147483648 then hash::bigint - 4294967296 else hash::bigint end) % {HASH_DIMENSIONS}) + {HASH_DIMENSIONS})
+    % {HASH_DIMENSIONS} as slot from stemmed_tf t join hashed_words using (term)""")
+cte("slot_tf", ["slotted"], "select tweetid, slot, sum(tf)::bigint as tf from slotted group by all")
+cte("slot_weights", ["slot_tf", "docs"], """
+  select tweetid, slot, tf, round(case when df >= 5 then tf * ln(((select count(*) from docs) + 1e0) / (df + 1)) else 0 end, 6) as tfidf
+  from slot_tf join (select slot, count(*) as df from slot_tf group by slot) d using (slot)""")
+
+# --- naive Bayes on terms: log shares by class, smoothed by one --------------------------------------
+cte("weighted_terms", ["docs", "terms"], """
+  select t.tweetid, t.term, p.sponsoring_country as class, p.is_validation,
+    case when df >= 5 then tf * ln(((select count(*) from docs) + 1e0) / (df + 1)) else 0e0 end as x
+  from terms t join (select term, count(*) as df from terms group by term) d using (term) join docs p using (tweetid)""")
+cte("class_sizes", ["docs"], """
+  select class, n_train, weight, row_number() over (order by n desc, class) - 1 as label,
+    ln((weight * n_train + 1) / (sum(weight * n_train) over () + count(*) over ())) as prior
+  from (select sponsoring_country as class, count(*) as n, count(*) filter (not is_validation) as n_train,
+      (select count(*) from docs) / (count(*) over () * cast(count(*) as double)) as weight
+    from docs group by 1) q where n_train > 0""")
+cte("class_terms", ["weighted_terms", "class_sizes"], """
+  select v.term, c.class, coalesce(sum(c.weight * w.x), 0) as mass from (select distinct term from weighted_terms) v cross join class_sizes c
+    left join weighted_terms w on w.term = v.term and w.class = c.class and not w.is_validation
+  group by all""")
+cte("class_logs", ["class_terms"], """
+  select term, class, ln(mass + 1) - ln(sum(mass) over (partition by class) + count(*) over (partition by class)) as theta from class_terms""")
+cte("class_scores", ["docs", "weighted_terms", "class_logs", "class_sizes"], """
+  select d.tweetid, d.userid, d.sponsoring_country, c.class, c.label, c.prior + coalesce(s.score, 0) as score
+  from docs d cross join class_sizes c
+    left join (select w.tweetid, l.class, sum(w.x * l.theta) as score from weighted_terms w join class_logs l using (term)
+      where w.is_validation group by all) s on s.tweetid = d.tweetid and s.class = c.class
+  where d.is_validation""")
 
 # --- predictions ----------------------------------------------------------------------------------
 cte("doc_votes", ["docs"], f"""
@@ -370,16 +502,33 @@ def oracle_sql() -> dict[str, str]:
         "stopword_filter": chain(
             "select tweetid, len(kept) as n_tokens, array_to_string(kept, ' ') as tokens from kept_words", "kept_words"),
         "drop_url_tokens": chain(
-            f"select tweetid, len(list_filter(words, lambda t: {LINKS})) as n_tokens, "
-            f"array_to_string(list_filter(words, lambda t: {LINKS}), ' ') as tokens from words", "words"),
+            f"select tweetid, len(list_filter(words, lambda t: {no_link('t')})) as n_tokens, "
+            f"array_to_string(list_filter(words, lambda t: {no_link('t')}), ' ') as tokens from words", "words"),
         "prepare_text": chain(
             "select sponsoring_country, tweetid, userid, is_validation, "
-            f"array_to_string(list_filter(kept, lambda t: {LINKS}), ' ') as ntokens from kept_words", "kept_words"),
+            f"array_to_string(list_filter(kept, lambda t: {no_link('t')}), ' ') as ntokens from kept_words", "kept_words"),
         "term_frequency": chain("select * from terms", "terms"),
         "tfidf_terms": chain(
             "select tweetid, term, tf, round(case when df >= 5 then tf * ln(((select count(*) from docs) + 1e0) / (df + 1)) "
             "else 0 end, 6) as tfidf from terms join (select term, count(*) as df from terms group by term) d using (term)",
             "docs", "terms"),
+        "stem_vocabulary": chain("select low as word, uses, w as stem from stems", "stems"),
+        "stemmed_terms": chain("select tweetid, term, tf from stemmed_tf", "stemmed_tf"),
+        "prepare_text_stemmed": chain(
+            "select sponsoring_country, tweetid, userid, is_validation, coalesce(ntokens, '') as ntokens from docs left join "
+            "(select tweetid, string_agg(token, ' ' order by place) as ntokens from stemmed_words group by tweetid) t using (tweetid)",
+            "docs", "stemmed_words"),
+        "hashing_tf": chain("select tweetid, slot::int as slot, tf::double as tf from slot_tf", "slot_tf"),
+        "tfidf_hashed": chain("select tweetid, slot::int as slot, tfidf from slot_weights", "slot_weights"),
+        "hashed_terms": chain("select tweetid, slot::int as slot, tf, tfidf from slot_weights", "slot_weights"),
+        "slot_collisions": chain(
+            "select slot::int as slot, count(*) as terms, sum(n)::bigint as posts, (sum(n) - max(n))::bigint as lost from "
+            "(select slot, term, count(*) as n from slotted group by all) q group by slot", "slotted"),
+        "clf_nb_terms": chain(
+            "select s.tweetid, s.userid, s.sponsoring_country, own.label::double as label, best.label::double as prediction, "
+            "round(best.score, 3) as log_score, best.class as result from (select distinct tweetid, userid, sponsoring_country from class_scores) s "
+            "join (select * from class_scores qualify row_number() over (partition by tweetid order by score desc, label) = 1) best using (tweetid) "
+            "join class_sizes own on own.class = s.sponsoring_country", "class_scores", "class_sizes"),
         # labels and metrics
         "class_weights": chain(
             "select sponsoring_country, n, round(sum(n) over () / (count(*) over () * cast(n as double)), 6) as weight from "

@@ -293,25 +293,31 @@ def tfidf_terms(spark, d):
     return _rounded(weighted, "tfidf")
 
 
-def _hashed(spark, d) -> DataFrame:
-    tokens = post_level.prepared(fixtures.docs(spark, d))
-    return features.hashed_model(tokens).transform(tokens)
+def stemmed_terms(spark, d):
+    return features.stemmed_terms(_docs(spark, d))
 
 
-def _vector_summary(df: DataFrame, column: str) -> DataFrame:
-    values = features.sparse_parts(df.select("tweetid", F.size("ntokens").alias("n_tokens"), column), column)
-    return values.select(
-        "tweetid", "n_tokens", F.size("indices").alias("n_features"),
-        F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), ROUND).alias("total"),
-    )
+def _hashed(column: str):
+    def query(spark, d):
+        """The vectors of the model as rows, one for each index that is not zero."""
+        tokens = post_level.prepared(fixtures.docs(spark, d))
+        parts = features.sparse_parts(features.hashed_model(tokens).transform(tokens).select("tweetid", column), column)
+        return parts.select("tweetid", F.posexplode("indices").alias("at", "slot"), "values").select(
+            "tweetid", "slot", F.round(F.get("values", F.col("at")), ROUND).alias(column)
+        )
 
+    return query
 
-def hashing_tf(spark, d):
-    return _vector_summary(_hashed(spark, d), "tf")
 
+def hashed_terms(spark, d):
+    """The same vectors, without vectors."""
+    docs = _docs(spark, d)
+    tf = stage(features.stemmed_terms(docs), "stemmed-terms")
+    return _rounded(features.hashed_terms(tf, F.lit(docs.count())), "tfidf")
 
-def tfidf_hashed(spark, d):
-    return _vector_summary(_hashed(spark, d), "tfidf")
+
+def slot_collisions(spark, d):
+    return features.slot_collisions(features.stemmed_terms(_docs(spark, d)))
 
 
 # --- classifiers ---------------------------------------------------------------------------------------
@@ -322,6 +328,11 @@ def _classified(kind: str):
     return query
 
 
+def clf_nb_terms(spark, d):
+    predicted = post_level.nb_term_predictions(fixtures.docs(spark, d))
+    return predicted.withColumn("log_score", F.round("log_score", 3))
+
+
 def clf_embeddings(spark, d):
     vec_id = F.col("vec_id").cast("string")
     rows = fixtures.table(spark, d, "embeddings").select(
@@ -426,14 +437,18 @@ def queries():
         "stem_vocabulary": stem_vocabulary,
         "term_frequency": term_frequency,
         "tfidf_terms": tfidf_terms,
-        "hashing_tf": hashing_tf,
-        "tfidf_hashed": tfidf_hashed,
+        "stemmed_terms": stemmed_terms,
+        "hashing_tf": _hashed("tf"),
+        "tfidf_hashed": _hashed("tfidf"),
+        "hashed_terms": hashed_terms,
+        "slot_collisions": slot_collisions,
         "class_weights": class_weights,
         "label_index": label_index,
         "clf_lr": _classified("lr"),
         "clf_ovr_lr": _classified("ovr_lr"),
         "clf_ovr_svc": _classified("ovr_svc"),
         "clf_nb": _classified("nb"),
+        "clf_nb_terms": clf_nb_terms,
         "clf_embeddings": clf_embeddings,
         "weighted_f1": weighted_f1,
         "post_vote_probability": post_vote_probability,

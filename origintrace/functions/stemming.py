@@ -1,7 +1,8 @@
-"""English suffix stripping (Porter, 1980) on columns of tokens.
+"""English suffix stripping (Porter, 1980) on columns of token arrays.
 
-Spark has no stemmer, so this is the one place with Python code per token. It runs as an Arrow
-UDF inside the scan stage, without a shuffle; each worker remembers the stems it has worked out.
+A table of words gets its stems by expressions, see ``porter``. Arrays of tokens in their order get them here,
+inside the scan stage and without a shuffle: the tokens of an Arrow batch become numbers of a dictionary, Python
+sees each different word of the batch once and remembers its stem, and the numbers bring the stems to their places.
 """
 
 from __future__ import annotations
@@ -9,7 +10,8 @@ from __future__ import annotations
 import re
 import sys
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark import cloudpickle
 from pyspark.sql import functions as F, types as T
 
@@ -33,14 +35,14 @@ STEP_4 = [
     "ism", "ate", "iti", "ous", "ive", "ize",
 ]
 
-_VOWELS = "aeiou"
+VOWELS = "aeiou"
 
 
 def _shape(word: str) -> str:
     """The word as a string of c (consonant) and v (vowel); y is a vowel after a consonant."""
     out = ""
     for ch in word:
-        vowel = ch in _VOWELS or (ch == "y" and out.endswith("c"))
+        vowel = ch in VOWELS or (ch == "y" and out.endswith("c"))
         out += "v" if vowel else "c"
     return out
 
@@ -142,13 +144,14 @@ def _remembered(word: str) -> str:
     return found
 
 
-def _stems(words: pd.Series) -> pd.Series:
-    return words.map(lambda row: None if row is None else [_remembered(w) for w in row])
+def _stems(words: pa.Array) -> pa.Array:
+    """Arrays with every token replaced by its stem; null arrays and null tokens stay."""
+    # Of a slice, the offsets start at its own first token and the values are those of the whole.
+    first, last = (words.offsets[i].as_py() for i in (0, -1))
+    tokens = words.values.slice(first, last - first).dictionary_encode()
+    known = pa.array([None if w is None else _remembered(w) for w in tokens.dictionary.to_pylist()], pa.string())
+    offsets = pa.compute.subtract(words.offsets, first)
+    return pa.ListArray.from_arrays(offsets, known.take(tokens.indices), mask=words.is_null())
 
 
-def _stem(word: pd.Series) -> pd.Series:
-    return word.map(lambda w: None if w is None else _remembered(w))
-
-
-stems = F.pandas_udf(_stems, T.ArrayType(T.StringType()))  # of every token array
-stem = F.pandas_udf(_stem, T.StringType())  # of every token
+stems = F.arrow_udf(_stems, T.ArrayType(T.StringType()))  # of every token array

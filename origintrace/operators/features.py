@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from origintrace.constants import HASH_DIMENSIONS, MIN_DOC_FREQ
 from origintrace.functions import text as txt
-from origintrace.functions.stemming import stem, stems
+from origintrace.functions.porter import with_stems
+from origintrace.functions.stemming import stems
 from origintrace.functions.tokens import drop_link_tokens
-from origintrace.sources.staging import staged_path
+from origintrace.sources.staging import stage, staged_path
 
 HEAVY_TERMS = 4096  # terms in the most documents, broadcast when weighting; a fixed row bound
 
@@ -36,14 +37,41 @@ def prepare_text(
 def stem_vocabulary(posts: DataFrame, text: str = "tweet_text") -> DataFrame:
     """Distinct lower-case words with their number of uses and their stem."""
     words = posts.select(F.explode(txt.tokens(F.col(text))).alias("word"))
-    return words.groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("uses")).withColumn("stem", stem("word"))
+    return with_stems(words.groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("uses")), "word", "stem")
 
 
-def term_frequency(posts: DataFrame, text: str = "tweet_text") -> DataFrame:
-    """(tweetid, term, tf); uses within a document are combined map-side."""
+def stemmed_terms(posts: DataFrame, text: str = "tweet_text", keep: tuple[str, ...] = (), heavy: int = HEAVY_TERMS) -> DataFrame:
+    """(tweetid, *keep, term, tf): how often each token of ``prepare_text`` is in each post.
+
+    Order does not matter here, so stems come from the vocabulary: uses are counted per post and word,
+    stems are worked out for each word once, and the words in most posts are looked up by broadcast.
+    """
+    key = ["tweetid", *keep]
+    words = posts.select(*key, F.explode(txt.tokens(F.col(text))).alias("word"))
+    uses = stage(words.groupBy(*key, F.lower("word").alias("word")).agg(F.count("*").alias("uses")), "word-uses")
+    vocabulary = with_stems(uses.groupBy("word").agg(F.count("*").alias("posts")), "word", "term")
+    kept = F.size(drop_link_tokens(txt.without_stop_words(F.array("term")))) > 0
+    return with_heavy_apart(uses, vocabulary.where(kept), "word", "posts", heavy).groupBy(*key, "term").agg(F.sum("uses").alias("tf"))
+
+
+def with_heavy_apart(rows: DataFrame, table: DataFrame, key: str, weight: str, heavy: int = HEAVY_TERMS) -> DataFrame:
+    """``rows`` joined with ``table``, one row per ``key``, whose column ``weight`` says in how many rows a key is.
+
+    The ``heavy`` keys of most rows are looked up by broadcast. The others join by shuffle, where none of them is
+    frequent enough to fill a task. ``weight`` is left out of the result.
+    """
+    top = F.broadcast(table.orderBy(F.desc(weight), key).limit(heavy))
+    rest = table.join(top.select(key), key, "left_anti")
+    frequent = rows.join(top, key)
+    others = rows.join(top.select(key), key, "left_anti").join(rest, key)
+    return frequent.unionByName(others).drop(weight)
+
+
+def term_frequency(posts: DataFrame, text: str = "tweet_text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(tweetid, *keep, term, tf); uses within a document are combined map-side."""
     return (
-        posts.select("tweetid", F.explode(txt.terms(F.col(text))).alias("term"))
-        .groupBy("tweetid", "term")
+        posts.select("tweetid", *keep, F.explode(txt.terms(F.col(text))).alias("term"))
+        .groupBy("tweetid", *keep, "term")
         .agg(F.count("*").alias("tf"))
     )
 
@@ -52,25 +80,59 @@ def document_frequency(tf: DataFrame) -> DataFrame:
     return tf.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def tfidf_terms(tf: DataFrame, n_documents, min_doc_freq: int = MIN_DOC_FREQ, heavy: int = HEAVY_TERMS) -> DataFrame:
+def tfidf_terms(
+    tf: DataFrame, n_documents, min_doc_freq: int = MIN_DOC_FREQ, heavy: int = HEAVY_TERMS, fit_on: str = "all"
+) -> DataFrame:
     """Exact TF-IDF on terms; terms in fewer than ``min_doc_freq`` documents weigh 0.
 
+    With ``fit_on="train"``, only rows whose ``is_validation`` is false count as documents of a term.
     ``n_documents`` is a column, such as a scalar subquery. The terms of most documents hold a
     large part of all rows, so they are looked up by broadcast, at most ``heavy`` of them; the
     others join by shuffle, where none of them is frequent enough to fill a task.
     """
-    df = document_frequency(tf).where(F.col("df") >= min_doc_freq)
+    basis = tf if fit_on == "all" else tf.where(~F.col("is_validation"))
+    df = document_frequency(basis).where(F.col("df") >= min_doc_freq)
     top = df.orderBy(F.desc("df"), "term").limit(heavy)
     idf = F.log((n_documents + 1) / (F.col("df") + 1))
     first = tf.join(F.broadcast(top), "term", "left")
     frequent = first.where(F.col("df").isNotNull())
     others = first.where(F.col("df").isNull()).drop("df")
     rest = others.join(df, "term", "left")
-    return frequent.unionByName(rest).select(
-        "tweetid", "term", "tf", F.coalesce(F.col("tf") * idf, F.lit(0.0)).alias("tfidf")
+    return frequent.unionByName(rest).select(*tf.columns, F.coalesce(F.col("tf") * idf, F.lit(0.0)).alias("tfidf"))
+
+
+def with_slots(vocabulary: DataFrame, dimensions: int = HASH_DIMENSIONS) -> DataFrame:
+    """A table with each ``term`` once, with ``slot``: the index ``hashed_model`` gives the term.
+
+    That is the 32-bit MurmurHash3 of its UTF-8 bytes (seed 42), as a signed number, modulo ``dimensions``.
+    """
+    alone = vocabulary.withColumn("alone", F.array("term"))
+    hashed = HashingTF(numFeatures=dimensions, inputCol="alone", outputCol="place").transform(alone).drop("alone")
+    return sparse_parts(hashed, "place").withColumn("slot", F.get("indices", F.lit(0))).drop("indices", "values")
+
+
+def slot_collisions(terms: DataFrame, dimensions: int = HASH_DIMENSIONS) -> DataFrame:
+    """(slot, terms, posts, lost): what meets in each slot of ``terms`` (tweetid, term, ...).
+
+    ``terms`` counts the different terms of a slot, ``posts`` the (post, term) rows, and ``lost`` those rows whose
+    term is not the slot's most frequent one.
+    """
+    vocabulary = with_slots(terms.groupBy("term").agg(F.count("*").alias("n")), dimensions)
+    return vocabulary.groupBy("slot").agg(
+        F.count("*").alias("terms"), F.sum("n").alias("posts"), (F.sum("n") - F.max("n")).alias("lost")
     )
 
 
+def hashed_terms(
+    tf: DataFrame, n_documents, dimensions: int = HASH_DIMENSIONS, min_doc_freq: int = MIN_DOC_FREQ, heavy: int = HEAVY_TERMS
+) -> DataFrame:
+    """(tweetid, slot, tf, tfidf): the vectors of ``hashed_model`` as rows; a slot's terms are added up."""
+    vocabulary = with_slots(tf.groupBy("term").agg(F.count("*").alias("posts")), dimensions)
+    placed = with_heavy_apart(tf, vocabulary, "term", "posts", heavy)
+    by_slot = stage(placed.groupBy("tweetid", F.col("slot").alias("term")).agg(F.sum("tf").alias("tf")), "slots")
+    return tfidf_terms(by_slot, n_documents, min_doc_freq, heavy).withColumnRenamed("term", "slot")
+
+
 def hashed_model(
     prepared: DataFrame, tokens: str = "ntokens", dimensions: int = HASH_DIMENSIONS,
     min_doc_freq: int = MIN_DOC_FREQ, fit_on: str = "all",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from origintrace.constants import CLASS_ORDER, MODELLED_COUNTRIES
-from origintrace.operators import classify, clean, features, split, votes
+from origintrace.operators import classify, clean, features, naive_bayes, split, votes
 from origintrace.sources.staging import stage
 
 POST = ["sponsoring_country", "tweetid", "userid", "is_validation"]
@@ -40,6 +40,24 @@ def predictions(rows: DataFrame, kind: str = "ovr_lr") -> DataFrame:
     return classify.named(classify.predict(kind, rows), labels)
 
 
+def nb_term_predictions(posts: DataFrame, fit_on: str = "all") -> DataFrame:
+    """Validation posts with ``prediction``, ``log_score`` and ``result``, from naive Bayes on exact TF-IDF terms.
+
+    ``posts`` are those of ``prepared`` before tokens: each has its text, class and split. No text is sent
+    to Python and no vector is built.
+    """
+    basis = posts if fit_on == "all" else posts.where(~F.col("is_validation"))
+    labelled = stage(classify.with_weight_and_label(posts, basis).select(*POST, "label", "weight", "tweet_text"), "labelled")
+    tf = stage(features.term_frequency(labelled, keep=("label", "is_validation")), "term-frequency")
+    heads = labelled.drop("tweet_text")
+    counted = heads if fit_on == "all" else heads.where(~F.col("is_validation"))
+    rows = stage(features.tfidf_terms(tf, F.lit(counted.count()), fit_on=fit_on), "term-weights")
+    model = naive_bayes.fit(rows, heads)
+    scored = naive_bayes.score(model, rows.where("is_validation"), heads.where("is_validation"))
+    labels = heads.select("sponsoring_country", "label").distinct()
+    return classify.named(scored.drop("weight", "is_validation"), labels)
+
+
 def vote_probabilities(predicted: DataFrame, classes: list[str] = CLASS_ORDER) -> DataFrame:
     """Vote shares per account, from predictions with a single ``result``."""
     return votes.post_vote_probability(predicted.withColumn("result", F.array("result")), classes)

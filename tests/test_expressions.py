@@ -7,8 +7,8 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
 
 from origintrace.constants import CLASS_ORDER, STOP_WORDS
-from origintrace.functions import probability as prob, stemming, text as txt, tokens as tok
-from origintrace.sources import catalog
+from origintrace.functions import porter, probability as prob, stemming, text as txt, tokens as tok
+from origintrace.sources import catalog, fixtures
 
 
 def one(spark, value, schema, expression):
@@ -79,13 +79,27 @@ rate:rate cease:ceas controll:control roll:roll generalizations:gener oscillator
 
 
 def test_stems_match_the_published_examples(spark):
-    got = spark.createDataFrame([(w,) for w in PUBLISHED], "word string").select("word", stemming.stem("word")).collect()
-    assert {r[0]: r[1] for r in got} == PUBLISHED
+    got = porter.with_stems(spark.createDataFrame([(w,) for w in PUBLISHED], "word string"), "word", "stem").collect()
+    assert {r.word: r.stem for r in got} == PUBLISHED
+    assert {w: stemming.stem_word(w) for w in PUBLISHED} == PUBLISHED
+
+
+def test_both_stemmers_agree(spark, small):
+    """On all words of the documents, and on words around the rules for y, doubled letters and short stems."""
+    odd = "yyyy sayyyed yying hoppying fly say syzygy by ying yed eed ed ing ss s ies sses feed agreed bling a ab É ÉTÉ sion tion ational ﬁsh 😀s".split()
+    words = fixtures.docs(spark, small).select(F.explode(txt.tokens(F.col("tweet_text"))).alias("word")).distinct()
+    words = words.unionByName(spark.createDataFrame([(w,) for w in [*odd, None]], "word string")).withColumn("n", F.lit(1))
+    got = porter.with_stems(words, "word", "stem").collect()
+    assert len(got) > 1000 and all(r.stem == (r.word and stemming.stem_word(r.word)) for r in got)
 
 
 def test_stems_of_arrays_keep_null_and_order(spark):
     df = spark.createDataFrame([(["Cats", "is", "running"],), (None,), ([],)], "x array<string>")
     assert [r[0] for r in df.select(stemming.stems("x")).collect()] == [["cat", "is", "run"], None, []]
+    many = spark.range(0, 5000, 1, 1).select(F.when(F.col("id") % 7 != 0, F.transform(F.sequence(F.lit(0), F.col("id") % 5), lambda i: F.when(
+        i != 3, F.concat(F.lit("cats"), i.cast("string"), F.lit("s"))))).alias("x"))
+    for r in many.select("x", stemming.stems("x").alias("y")).collect():
+        assert r.y == (r.x and [w and w[:-1] for w in r.x])
 
 
 def test_softmax(spark):

@@ -1,15 +1,18 @@
 """Ingest, text features, classifiers, votes, ensemble and metrics."""
 
 import math
+import random
 from collections import Counter
 
 import pytest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from checks import queries as registered
 from origintrace.constants import CLASS_ORDER, TWEET_COLUMNS
-from origintrace.operators import classify, clean, ensemble, features, metrics, votes
+from origintrace.operators import classify, clean, ensemble, features, metrics, naive_bayes, votes
+from origintrace.plans import post_level
 from origintrace.sources import dumps, fixtures
 from origintrace.sources.schemas import TWEET_DUMP, text_schema
 
@@ -97,6 +100,81 @@ def test_hashed_weights_can_be_fitted_on_training_posts_alone(spark):
     assert {len(r["indices"]) for r in parts} == {1, 2} and all(set(r["values"]) == {1.0} for r in parts)
 
 
+def murmur3(data, h=42):
+    """32-bit MurmurHash3, as a signed number."""
+    turn = lambda x, n: (x << n | x >> 32 - n) & 0xFFFFFFFF
+    mix = lambda k: turn(k * 0xCC9E2D51 & 0xFFFFFFFF, 15) * 0x1B873593 & 0xFFFFFFFF
+    whole = len(data) // 4 * 4
+    for i in range(0, whole, 4):
+        h = (turn(h ^ mix(int.from_bytes(data[i : i + 4], "little")), 13) * 5 + 0xE6546B64) & 0xFFFFFFFF
+    h ^= (mix(int.from_bytes(data[whole:], "little")) if data[whole:] else 0) ^ len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+    h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def test_slots_are_the_indices_of_the_vectors(spark):
+    words = [f"word{i}" for i in range(60)] + ["é", "日本語", "a", "ab", "abc"]
+    df = spark.createDataFrame([("1", None, False, words + ["word1"]), ("2", None, True, [])], POSTS + ", ntokens array<string>")
+    vectors = features.hashed_model(df, dimensions=13, min_doc_freq=1).transform(df)
+    parts = {r.tweetid: dict(zip(r["indices"], r["values"])) for r in features.sparse_parts(vectors.select("tweetid", "tf"), "tf").collect()}
+    place = lambda w: murmur3(w.encode()) % 13
+    assert parts == {"1": dict(Counter(map(place, [*words, "word1"]))), "2": {}}
+    terms = spark.createDataFrame([("1", w, 1) for w in words] + [("2", "word1", 1)], "tweetid string, term string, tf long")
+    met = {r.slot: (r.terms, r.posts, r.lost) for r in features.slot_collisions(terms, 13).collect()}
+    by_slot = {}
+    for w in words:
+        by_slot.setdefault(place(w), []).append(1 + (w == "word1"))
+    assert met == {k: (len(v), sum(v), sum(v) - max(v)) for k, v in by_slot.items()}
+    rows = features.hashed_terms(terms, F.lit(2), dimensions=13, min_doc_freq=1, heavy=3).where("tweetid = '1'").collect()
+    assert {r.slot: r.tf for r in rows} == Counter(map(place, words))
+
+
+def test_stemmed_terms_count_the_prepared_tokens(spark, small):
+    docs = fixtures.docs(spark, small)
+    want = Counter((r.tweetid, t) for r in features.prepare_text(docs).select("tweetid", "ntokens").collect() for t in r.ntokens)
+    for heavy in (5, 4096):
+        got = features.stemmed_terms(docs, heavy=heavy).collect()
+        assert {(r.tweetid, r.term): r.tf for r in got} == dict(want) and len(got) == len(want)
+
+
+@pytest.mark.parametrize("heavy", [2, 4096])
+def test_naive_bayes_equals_mllib(spark, heavy):
+    """The same weighted rows as vectors over the same vocabulary."""
+    rng = random.Random(5)
+    classes, words = ["a", "b", "c"], [f"w{i}" for i in range(30)]
+    data = [(str(i), classes[i % 5 % 3], "u", i % 4 == 0, " ".join(rng.choices(words[i % 5 % 3 * 8:], k=i % 9))) for i in range(200)]
+    posts = spark.createDataFrame(data, "tweetid string, sponsoring_country string, userid string, is_validation boolean, tweet_text string")
+    heads = classify.with_weight_and_label(posts)
+    tf = features.term_frequency(heads, keep=("label", "is_validation"))
+    rows = features.tfidf_terms(tf, F.lit(len(data)))
+    model = naive_bayes.fit(rows, heads)
+    got = {r.tweetid: r for r in naive_bayes.score(model, rows.where("is_validation"), heads.where("is_validation"), heavy=heavy).collect()}
+    assert len(got) == 50
+
+    weights = {}
+    for r in rows.collect():
+        weights.setdefault(r.tweetid, {})[r.term] = r.tfidf
+    used = sorted({t for w in weights.values() for t in w})
+    vectors = spark.createDataFrame([
+        (r.tweetid, r.label, r.weight, r.is_validation, Vectors.sparse(len(used), sorted((used.index(t), x) for t, x in weights.get(r.tweetid, {}).items())))
+        for r in heads.collect()], ["tweetid", "label", "weight", "is_validation", "tfidf"])
+    plain = classify.classifier("nb").fit(vectors.where("not is_validation")).transform(vectors.where("is_validation"))
+    for r in plain.select("tweetid", "prediction", "rawPrediction").collect():
+        best, second = sorted(r.rawPrediction, reverse=True)[:2]
+        assert got[r.tweetid].prediction == r.prediction or best - second < 1e-9
+        assert got[r.tweetid].log_score == pytest.approx(max(r.rawPrediction))
+
+
+def test_naive_bayes_of_little(spark):
+    schema = "tweetid string, sponsoring_country string, userid string, is_validation boolean, tweet_text string"
+    rows = [("1", "a", "u", False, "x y"), ("2", "b", "u", False, ""), ("3", "b", "u", True, None), ("4", "a", "u", True, "never seen"), ("5", "new", "u", True, "x")]
+    got = {r.tweetid: r for r in post_level.nb_term_predictions(spark.createDataFrame(rows, schema)).collect()}
+    assert set(got) == {"3", "4", "5"} and {r.result for r in got.values()} <= {"a", "b"}
+    assert post_level.nb_term_predictions(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_class_weights_balance_and_labels_follow_frequency(spark, small):
     docs = fixtures.docs(spark, small)
     rows = classify.class_weights(docs).collect()
@@ -107,7 +185,7 @@ def test_class_weights_balance_and_labels_follow_frequency(spark, small):
     assert sorted(counts, key=lambda c: (-counts[c], c)) == sorted(labels, key=labels.get)
 
 
-@pytest.mark.parametrize("kind", ["clf_lr", "clf_ovr_lr", "clf_ovr_svc", "clf_nb"])
+@pytest.mark.parametrize("kind", ["clf_lr", "clf_ovr_lr", "clf_ovr_svc", "clf_nb", "clf_nb_terms"])
 def test_classifiers_tell_languages_apart(spark, small, kind):
     rows = registered.queries()[kind](spark, small)
     score = metrics.weighted_f1(rows, "label", "prediction").first().f1

@@ -12,7 +12,7 @@ from checks.compare import TABLES, rows
 
 SQL = oracle.oracle_sql()
 QUERIES = registered.queries()
-WITH_PYTHON = {"prepare_text_stemmed", "stem_vocabulary"}
+WITH_PYTHON = {"prepare_text_stemmed"}
 
 
 @pytest.fixture(scope="module")
