@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from origintrace.llm.columns import fresh, quoted
-from origintrace.llm.tokens import encoder
+from origintrace.llm.tokens import GENERATION, encoder
 from origintrace.sources.staging import stage
 
 CAPACITY, END_ID = 4096, 1
@@ -29,18 +29,24 @@ WELL_FILLED, BADLY_FILLED = 0.995, 0.97
 PIECE = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces_of(documents: DataFrame, tokenizer: str, id_column: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): every document's ids with the end id, cut only where longer than ``capacity``."""
+def pieces_of(
+    documents: DataFrame, tokenizer: str, id_column: str = "doc_id", text: str = "text", capacity: int = CAPACITY, memo: int = GENERATION
+) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32): every document's ids with the end id, cut only where longer than ``capacity``.
+
+    ``memo`` bounds the words a Python worker remembers.
+    """
     kind = documents.schema[id_column].dataType.simpleString()
 
     def cut(batches):
-        enc, names = encoder(tokenizer), ["doc_id", "piece", "start", "length", "ids_crc32"]
+        enc, names = encoder(tokenizer, memo), ["doc_id", "piece", "start", "length", "ids_crc32"]
         for batch in batches:
             kinds = [batch.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             for k in range(0, batch.num_rows, 256):  # few texts at a time are Python objects
                 part, rows = batch.slice(k, 256), []
                 for doc, data in zip(part.column("doc_id").to_pylist(), enc.encode_many(part.column("text").to_pylist())):
-                    ids = np.append(np.frombuffer(data, dtype=enc.dtype), enc.dtype.type(END_ID)).astype("<u4")
+                    ids = np.empty(len(data) // enc.dtype.itemsize + 1, dtype="<u4")
+                    ids[:-1], ids[-1] = np.frombuffer(data, dtype=enc.dtype), END_ID
                     rows += [(doc, i // capacity, i, min(capacity, len(ids) - i), zlib.crc32(ids[i : i + capacity])) for i in range(0, len(ids), capacity)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 

@@ -9,7 +9,7 @@ from origintrace.llm import (
     toxicity, warc,
 )
 from origintrace.llm.sampling import fold
-from origintrace.llm.tokens import default_tokenizer
+from origintrace.llm.tokens import ROOMY, default_tokenizer
 
 #: What ``op8_mixing`` aims at: the flattest mix in which no source is passed over more than so often.
 MIX = mixing.Target(repeats=2.0)
@@ -27,7 +27,7 @@ def op1_cover_tree(spark, d):
 
 def op2_token_shards(spark, d):
     documents = _table(spark, d, "documents")
-    return token_shards.read(documents, token_shards.write(documents, default_tokenizer()))
+    return token_shards.read(documents, token_shards.write(documents, default_tokenizer(), memo=ROOMY))
 
 
 def op3_toxicity(spark, d):
@@ -42,7 +42,7 @@ def op4_language_model(spark, d):
 
 
 def op5_packing(spark, d):
-    return packing.pack(packing.pieces_of(_table(spark, d, "documents"), default_tokenizer()))
+    return packing.pack(packing.pieces_of(_table(spark, d, "documents"), default_tokenizer(), memo=ROOMY))
 
 
 def op6_warc(spark, d):

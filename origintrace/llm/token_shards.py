@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from origintrace.llm.files import create, open_file
-from origintrace.llm.tokens import encoder
+from origintrace.llm.tokens import GENERATION, encoder
 from origintrace.sources.staging import new_folder, stage
 
 END_ID = 2
@@ -181,8 +181,11 @@ def _part(key, parts: int):
     return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
 
 
-def write(documents: DataFrame, tokenizer: str, folder: str | None = None, id_column: str = "doc_id", text: str = "text", end_id: int = END_ID) -> Dataset:
-    """Encode, shard and index ``documents``.
+def write(
+    documents: DataFrame, tokenizer: str, folder: str | None = None, id_column: str = "doc_id", text: str = "text", end_id: int = END_ID,
+    memo: int = GENERATION,
+) -> Dataset:
+    """Encode, shard and index ``documents``; ``memo`` bounds the words a Python worker remembers.
 
     Documents come in ascending order of id, null ids first; those with equal ids in the order of a hash of
     their text, all under one key. A null text is empty and has the end id only. Other columns are not read.
@@ -192,7 +195,7 @@ def write(documents: DataFrame, tokenizer: str, folder: str | None = None, id_co
     folder = folder or new_folder(spark, "token-shards")
 
     def write_shards(batches):
-        enc, writer, rows = encoder(tokenizer), None, []
+        enc, writer, rows = encoder(tokenizer, memo), None, []
         end = np.array([end_id], dtype=enc.dtype).tobytes()
 
         def emit():

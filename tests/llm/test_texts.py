@@ -32,6 +32,18 @@ def test_encoder_equals_the_library(odd_rows, documents):
         assert np.array_equal(np.frombuffer(ids, dtype="<u2"), want[:-1]), t
 
 
+def test_encoder_with_another_tokenizer_file(odd_rows):
+    import public_tokenizers
+
+    assert encoder(TOKENIZER).wordwise
+    path, texts = public_tokenizers.path("byte_bpe_50k.json"), [r[1] for r in odd_rows]
+    other = encoder(path)
+    assert not other.wordwise
+    for t, ids in zip(texts, other.encode_many(texts)):
+        want = other.tokenizer.encode(t or "", add_special_tokens=False).ids
+        assert np.frombuffer(ids, dtype=other.dtype).tolist() == want
+
+
 def test_perfect_hash_is_perfect():
     for n in (1, 2, 5, 1000, 4096):
         keys = [f"k{i}" for i in range(n)]
