@@ -133,6 +133,8 @@ SETTINGS = [
     similarity.Settings(words=1, hot_pairs=0, cell=3),
     similarity.Settings(words=2, sketch=1, hot_pairs=20, cell=1),
     similarity.Settings(words=1, sketch=2, hot_pairs=10**9, cell=2048),
+    similarity.Settings(words=3, hot_pairs=0, cold_pairs=0, cell=5),
+    similarity.Settings(words=3, hot_pairs=0, cold_pairs=1),
 ]
 
 
@@ -164,17 +166,58 @@ def test_threshold_is_strict(spark):
     assert similarity.similar_pairs(similarity.index_sets(spark.createDataFrame(rows, SETS))).count() == 1
 
 
-def test_minhash_pairs_are_exact_pairs_and_most_of_them(spark):
+def test_as_many_tokens_are_hot_as_their_pairs_call_for(spark):
+    """200 tokens that all accounts of a group share, more pairs behind the first ones; and accounts that share nothing."""
+    rows = [(u % 4 == 0, "iran", f"u{u}", "users", f"t{t}") for u in range(60) for t in range(200) if u % (t // 40 + 1) == 0]
+    rows += [(False, "iran", f"alone{u}", "users", f"own{u}-{t}") for u in range(100) for t in range(20)]
+    df = spark.createDataFrame(rows, SETS)
+    words = lambda **more: similarity.index_sets(df, similarity.Settings(hot_pairs=4, **more)).settings.words
+    assert words(cold_pairs=10**6) == 1 and words(cold_pairs=0) == 4 and words(cold_pairs=0, words=2) == 2
+    assert 1 <= words(cold_pairs=5) <= words(cold_pairs=1) <= 4
+    with_hot, without = (similarity.index_sets(df, similarity.Settings(hot_pairs=h, cold_pairs=0)) for h in (4, 10**9))
+    pairs = lambda x: sorted(map(tuple, similarity.similar_pairs(x).collect()))
+    assert pairs(with_hot) == pairs(without)
+
+
+def agreeing(rows, n_tables, seed=42):
+    """The exact pairs whose minima agree in a table, by the definition."""
+    number = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % minhash.PRIME
+    sets = defaultdict(set)
+    for val, country, user, channel, token in rows:
+        sets[val, channel, country, user].add(number(token))
+    tables = minhash.coefficients(n_tables, seed)
+    minima = {k: [min((x * a + b) % minhash.PRIME for x in v) for a, b in tables] for k, v in sets.items()}
+    return {
+        k: v for k, v in brute_pairs(rows).items()
+        if any(x == y for x, y in zip(minima[False, k[0], k[1], k[2]], minima[True, k[0], k[3], k[4]]))
+    }
+
+
+@pytest.mark.parametrize("by_tables", [True, False, None])
+@pytest.mark.parametrize("settings", [similarity.Settings(), similarity.Settings(words=1, sketch=1, hot_pairs=0, cell=2)], ids=str)
+def test_minhash_pairs_are_the_exact_ones_that_agree(spark, by_tables, settings):
     rows = random_sets(2)
-    exact = brute_pairs(rows)
+    df, exact = spark.createDataFrame(rows, SETS), brute_pairs(rows)
+    for n_tables, seed in ((20, 42), (1, 7)):
+        want = agreeing(rows, n_tables, seed)
+        got = minhash.minhash_pairs(df, n_tables, seed, settings, by_tables).collect()
+        assert len(got) == len(want) and {tuple(r)[:5]: r.similarity for r in got} == pytest.approx(want)
+        assert n_tables == 1 or len(want) > 0.9 * len(exact)
+
+
+def test_minhash_looks_at_fewer_pairs_where_large_sets_share_little(spark):
+    """Sets of 100 of 2,000 tokens: any two share a few, and hardly any two are similar but the planted copies."""
+    rng = random.Random(3)
+    rows = []
+    for u in range(150):
+        tokens = rng.sample(range(2000), 100) if u % 10 != 1 else tokens[:90] + rng.sample(range(2000, 3000), 10)
+        rows += [(u % 10 == 1, "iran", f"u{u}", "users", f"t{t}") for t in tokens]
     df = spark.createDataFrame(rows, SETS)
-    got = {tuple(r)[:5]: r.similarity for r in minhash.minhash_pairs(df, n_tables=20).collect()}
-    assert all(exact[k] == pytest.approx(v) for k, v in got.items())
-    assert len(got) > 0.8 * len(exact)
-    few = minhash.minhash_pairs(df, n_tables=1).count()
-    assert few < len(got)
-    other = {tuple(r)[:5] for r in minhash.minhash_pairs(df, n_tables=1, seed=7).collect()}
-    assert other <= set(exact)
+    indexed = similarity.index_sets(df)
+    _, cells = minhash._bucketed(indexed, minhash.signatures(df, 20), 20)
+    assert cells.agg(F.sum("pairs")).first()[0] * 2 < indexed.cost
+    got = {tuple(r)[:5]: r.similarity for r in minhash.minhash_pairs(df, 20).collect()}
+    assert got == pytest.approx(agreeing(rows, 20)) and len(got) >= 15
 
 
 def test_score_vectors_have_one_slot_per_class_and_zero_without_neighbours(spark):
