@@ -9,7 +9,7 @@ from origintrace.llm import (
     toxicity, warc,
 )
 from origintrace.llm.sampling import fold
-from origintrace.llm.tokens import ROOMY, default_tokenizer
+from origintrace.llm.tokens import ROOMIEST, ROOMY, default_tokenizer
 
 #: What ``op8_mixing`` aims at: the flattest mix in which no source is passed over more than so often.
 MIX = mixing.Target(repeats=2.0)
@@ -42,7 +42,7 @@ def op4_language_model(spark, d):
 
 
 def op5_packing(spark, d):
-    return packing.pack(packing.pieces_of(_table(spark, d, "documents"), default_tokenizer(), memo=ROOMY))
+    return packing.pack(packing.pieces_of(_table(spark, d, "documents"), default_tokenizer(), memo=ROOMIEST))
 
 
 def op6_warc(spark, d):

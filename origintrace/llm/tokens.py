@@ -14,9 +14,10 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-#: Entries per generation of a memo where a job has memory for it (about 250 MB a Python worker), and where the
-#: worker also serves other stages (about 100 MB); words longer than ``LONGEST`` are not kept.
-ROOMY, GENERATION, LONGEST = 500_000, 150_000, 40
+#: Entries per generation of a memo where a job has memory for it (measured: 250 MB a Python worker, and 350 MB
+#: where nothing else is held), and where the worker also serves other stages (120 MB); words longer than
+#: ``LONGEST`` are not kept.
+ROOMY, ROOMIEST, GENERATION, LONGEST = 500_000, 800_000, 150_000, 40
 #: What the tokenizer file defines: how a normalised text falls into pieces, and the end of a piece.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 END_OF_PIECE = "</w>"
