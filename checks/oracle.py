@@ -338,7 +338,7 @@ cte("vote_shares", ["post_votes"], f"""
   from post_votes where is_validation group by all""")
 cte("wide", ["post_votes"], f"""
   select userid, {', '.join(f"count(*) filter (prediction = '{c}') as v_{c}" for c in CLASS_ORDER)}
-  from post_votes group by userid""")
+  from post_votes where is_validation group by userid""")
 _votes = " + ".join(f"v_{c}" for c in CLASS_ORDER)
 
 
@@ -355,7 +355,7 @@ cte("blended", ["post_votes", "user_level", "wide"], f"""
   select l.userid, l.label, {', '.join(
       f"coalesce(u_{c} * 0.5e0 + v_{c} / cast({_votes} as double) * 0.5e0, u_{c}, v_{c} / cast({_votes} as double)) as p_{c}"
       for c in CLASS_ORDER)}
-  from (select userid, min(sponsoring_country) as label from post_votes group by userid) l
+  from (select userid, min(sponsoring_country) as label from post_votes where is_validation group by userid) l
     left join user_level u on l.userid = u.userid left join wide w on l.userid = w.userid""")
 
 # --- names of raw tables ------------------------------------------------------------------------------

@@ -378,7 +378,8 @@ def post_vote_probability(spark, d):
 
 
 def pivot_predictions(spark, d):
-    return _rounded(votes.pivot_predictions(_post_votes(_account_posts(spark, d))), *[f"share_{c}" for c in CLASS_ORDER])
+    predictions = _post_votes(_account_posts(spark, d)).where("is_validation")
+    return _rounded(votes.pivot_predictions(predictions), *[f"share_{c}" for c in CLASS_ORDER])
 
 
 def ensemble_inner(spark, d):
@@ -388,7 +389,7 @@ def ensemble_inner(spark, d):
 
 def ensemble_left(spark, d):
     flagged = _account_posts(spark, d)
-    predictions = _post_votes(flagged)
+    predictions = _post_votes(flagged).where("is_validation")
     blended = ensemble.ensemble_left(
         predictions, votes.pivot_predictions(predictions), user_level.probabilities(flagged)
     )

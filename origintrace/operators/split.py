@@ -82,7 +82,11 @@ def split_users(users: DataFrame, share: float = VALIDATION_SHARE, seed: int = S
     return flag_validation(users, cut_keys(users, share, seed), seed)
 
 
-def split_posts(posts: DataFrame, share: float = VALIDATION_SHARE, seed: int = SEED) -> DataFrame:
-    """Every cleaned post with the flag of its account."""
-    users = stage(posts_per_user(posts), "posts-per-user")
-    return flag_validation(posts, cut_keys(users, share, seed), seed)
+def staged_cuts(posts: DataFrame, share: float = VALIDATION_SHARE, seed: int = SEED) -> DataFrame:
+    """The cut keys of cleaned posts, one row per country, written: every table of the same accounts can be flagged by them."""
+    return stage(cut_keys(stage(posts_per_user(posts), "posts-per-user"), share, seed), "cut-keys")
+
+
+def split_posts(posts: DataFrame, share: float = VALIDATION_SHARE, seed: int = SEED, cuts: DataFrame | None = None) -> DataFrame:
+    """Every cleaned post with the flag of its account; ``cuts`` are those of the same posts, if there already."""
+    return flag_validation(posts, staged_cuts(posts, share, seed) if cuts is None else cuts, seed)

@@ -5,6 +5,7 @@ import io
 
 import duckdb
 import pytest
+from pyspark.sql.readwriter import DataFrameWriter
 
 import __spark_entry__ as entry
 from checks import oracle, queries as registered
@@ -12,7 +13,10 @@ from checks.compare import TABLES, rows
 
 SQL = oracle.oracle_sql()
 QUERIES = registered.queries()
-WITH_PYTHON = {"prepare_text_stemmed"}
+#: Stems of tokens in their order, and what is built on them; files looked at one by one.
+STEMMED = {"prepare_text_stemmed", "hashing_tf", "tfidf_hashed", "clf_lr", "clf_ovr_lr", "clf_ovr_svc", "clf_nb"}
+FILES = {"ingest_csv", "ingest_quarantine", "ingest_manifest", "combined_users"}
+PYTHON = {"ArrowEvalPython": STEMMED, "MapInPandas": FILES}
 
 
 @pytest.fixture(scope="module")
@@ -34,14 +38,27 @@ def test_every_sql_twin_has_a_query():
     assert set(SQL) <= set(QUERIES)
 
 
+@pytest.fixture
+def staged(monkeypatch):
+    """The plans of all tables written to Parquet meanwhile: what a query runs before its last segment."""
+    plans, write = [], DataFrameWriter.parquet
+
+    def recorded(self, *args, **kwargs):
+        plans.append(plan(self._df))
+        return write(self, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", recorded)
+    return plans
+
+
 @pytest.mark.parametrize("key", sorted(QUERIES))
-def test_query(spark, small, con, key):
+def test_query(spark, small, con, staged, key):
     df = QUERIES[key](spark, small)
-    text = plan(df)
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    assert "BatchEvalPython" not in text
-    if key not in WITH_PYTHON:
-        assert "ArrowEvalPython" not in text
+    for text in [*staged, plan(df)]:
+        assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+        assert "BatchEvalPython" not in text and "FlatMapGroupsInPandas" not in text
+        for node, allowed in PYTHON.items():
+            assert key in allowed or node not in text
     got = df.toPandas()
     if key in SQL:
         want = con.execute(SQL[key]).df()
@@ -51,6 +68,18 @@ def test_query(spark, small, con, key):
         assert len(got) > 0
 
 
+def test_segments_are_seen(spark, small, staged):
+    QUERIES["exact_jaccard_users"](spark, small)
+    assert len(staged) >= 5 and any("SortMergeJoin" in p or "BroadcastHashJoin" in p for p in staged)
+
+
+@pytest.mark.parametrize("key", ["sentence_counts", "tokenize", "stopword_filter", "prepare_text", "prepare_text_stemmed"])
+def test_texts_are_not_shuffled(spark, small, staged, key):
+    """Operators on the text of a post run in the task that scans it."""
+    text = plan(QUERIES[key](spark, small))
+    assert not staged and "Exchange" not in text
+
+
 def test_entry_is_the_flagship(spark):
     df = entry.entry(spark)
     assert df.columns == ["userid", "prob_russia", "prob_china", "prob_iran", "prob_venezuela"]
