@@ -9,6 +9,7 @@ then return only what reaches that. Large lists are cut into parts, so copies of
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,8 +27,11 @@ BOUNDARY, REPLICAS = 1.10, 4
 #: A query's lists: squared distance up to so many times the least, at least so many lists. Lists that give it
 #: a k-th score first.
 PROBE, LEAST_LISTS, FIRST_LISTS = 1.35, 48, 6
-#: Vectors of one part of a list, about.
-PART = 1024
+#: Vectors of one part of a list, about; queries compared with it at a time.
+PART, ASKED = 1024, 512
+#: Lengths of vectors with lists of their own at most, besides the commonest, and vectors that such a length has
+#: at least; vectors of other lengths are compared with all of their length.
+LENGTHS, OWN_LISTS = 16, 4096
 
 
 def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -126,26 +130,66 @@ def search(table: DataFrame, k: int = 20, every: int = 20, id_column: str = "vec
     """(query_id, rank, vec_id, score): for each query about its ``k`` greatest inner products, nearest first.
 
     Queries are the rows whose id is divisible by ``every``, one for each id; candidates are all rows with
-    another id. Every row that takes part is in at least one list. Scores are products of the original
-    vectors in double precision; ties go to the smaller id. Rows with a null id, or a vector that is null,
-    empty, zero or has null or non-finite components, take no part; vectors meet those of the commonest
-    length only, the smallest of several. Of rows that repeat an id and vector, one is returned.
+    another id and a vector of the same length. Every row that takes part is in at least one list. Scores are products
+    of the original vectors in double precision; ties go to the smaller id. Rows with a null id, or a vector that is
+    null, empty, zero or has null or non-finite components, take no part. Of rows that repeat an id and vector,
+    one is returned. Each length has lists of its own; vectors of a rare length are compared with all of it.
     """
     rows = prepared(table, id_column, vector).where(F.exists("v", lambda x: x != 0))
     # one row for each id and vector before any cut to k, with a number that tells its copies in several lists
     rows = stage(rows.dropDuplicates(["id", "v"]).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    queries = stage(query_rows(rows, every), "queries")  # one for each id, also where its rows differ in length
     sizes = rows.groupBy("dim").agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("s"))
-    common = sizes.orderBy(F.desc("n"), "dim").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if common is None:
-        return table.sparkSession.createDataFrame([], schema)
-    rows = rows.where(F.col("dim") == common.dim).select("id", "v", "row")
-    share = min(1.0, SAMPLE / common.n)
+    common = sizes.orderBy(F.desc("n"), "dim").limit(LENGTHS + 1).collect()
+    found = []
+    for i, r in enumerate(common):
+        if i == 0 or r.n > OWN_LISTS:
+            found.append(_by_lists(rows.where(F.col("dim") == r.dim), queries.where(F.col("dim") == r.dim), r.n, r.s, k))
+    if not found:
+        return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    with_lists = [r.dim for i, r in enumerate(common) if i == 0 or r.n > OWN_LISTS]
+    rare, asked = (x.where(~F.col("dim").isin(with_lists)).withColumnRenamed("dim", "list") for x in (rows, queries))
+    floor = F.lit(float("-inf")).alias("floor")
+    found.append(best_per_query(_visit(asked.select("id", "v", floor, "list"), _in_parts(rare), k).distinct(), k))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _in_parts(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings with their part, parts of each list) of ``postings`` (list, id, v, row)."""
+    parts = stage(postings.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "list-sizes")
+    part = F.pmod(F.xxhash64("row"), "parts").cast("int").alias("part")
+    return postings.join(parts, "list").select("list", part, "id", "v", "row"), parts
+
+
+def _visit(asked: DataFrame, held: tuple[DataFrame, DataFrame], k: int) -> DataFrame:
+    """(query_id, vec_id, row, score): the ``k`` best of every part of the lists in ``asked`` (id, v, floor, list)."""
+    postings, parts = held
+
+    def compare(key, asked, held):
+        if not len(asked) or not len(held):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "row": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "row": "int64"})
+        v, v_ids, rows = np.stack(held["v"].to_numpy()), held["id"].to_numpy(np.int64), held["row"].to_numpy(np.int64)
+        found = []
+        for i in range(0, len(asked), ASKED):  # a list that many queries ask is compared with some at a time
+            some = asked.iloc[i : i + ASKED]
+            q_ids = some["id"].to_numpy(np.int64)
+            x, y, score = best_products(np.stack(some["v"].to_numpy()), v, q_ids, v_ids, some["floor"].to_numpy(np.float64), k)
+            found.append(pd.DataFrame({"query_id": q_ids[x], "vec_id": v_ids[y], "row": rows[y], "score": score}))
+        return pd.concat(found)
+
+    asked = asked.join(parts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "v", "floor")
+    return asked.groupBy("list", "part").cogroup(postings.groupBy("list", "part")).applyInPandas(compare, "query_id long, vec_id long, row long, score double")
+
+
+def _by_lists(rows: DataFrame, queries: DataFrame, n: int, square: float, k: int) -> DataFrame:
+    """The search among ``n`` vectors of one length, the greatest of which has the squared norm ``square``."""
+    rows, spark = rows.select("id", "v", "row"), rows.sparkSession
+    share = min(1.0, SAMPLE / n)
     picked = rows.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy("id").limit(2 * SAMPLE).collect()
     picked = picked or rows.limit(1).collect()
-    lists = max(1, min(MAX_LISTS, round(common.n**0.5)))
-    centroids = fit(np.array([r.v for r in picked]), lists, float(np.sqrt(common.s)))
-    shared = table.sparkSession.sparkContext.broadcast(centroids)  # at most MAX_LISTS centroids
+    lists = max(1, min(MAX_LISTS, round(n**0.5)))
+    centroids = fit(np.array([r.v for r in picked]), lists, float(np.sqrt(square)))
+    shared = spark.sparkContext.broadcast(centroids)  # at most MAX_LISTS centroids
 
     def assign(batches):
         for batch in batches:
@@ -165,24 +209,9 @@ def search(table: DataFrame, k: int = 20, every: int = 20, id_column: str = "vec
 
     member = "id long, v array<double>, lists array<int>"
     postings = rows.mapInPandas(assign, "id long, v array<double>, row long, lists array<int>").select("id", "v", "row", F.explode("lists").alias("list"))
-    postings = stage(postings, "postings")
-    parts = postings.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    parts = stage(parts, "list-sizes")
-    postings = postings.join(parts, "list").select("list", F.pmod(F.xxhash64("row"), "parts").cast("int").alias("part"), "id", "v", "row")
-    queries = query_rows(rows.withColumn("dim", F.lit(common.dim)), every).select("id", "v")
-    aimed = stage(queries.mapInPandas(aim, member), "aimed")
-
-    def compare(key, asked, held):
-        if not len(asked) or not len(held):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "row": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "row": "int64"})
-        q, v = (np.stack(p["v"].to_numpy()) for p in (asked, held))
-        q_ids, v_ids = asked["id"].to_numpy(np.int64), held["id"].to_numpy(np.int64)
-        x, y, score = best_products(q, v, q_ids, v_ids, asked["floor"].to_numpy(np.float64), k)
-        return pd.DataFrame({"query_id": q_ids[x], "vec_id": v_ids[y], "row": held["row"].to_numpy(np.int64)[y], "score": score})
-
-    def visit(asked: DataFrame) -> DataFrame:
-        asked = asked.join(parts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "v", "floor")
-        return asked.groupBy("list", "part").cogroup(postings.groupBy("list", "part")).applyInPandas(compare, "query_id long, vec_id long, row long, score double")
+    held = _in_parts(stage(postings, "postings"))
+    aimed = stage(queries.select("id", "v").mapInPandas(aim, member), "aimed")
+    visit = lambda asked: _visit(asked, held, k)
 
     floor = F.lit(float("-inf"))
     first = visit(aimed.select("id", "v", floor.alias("floor"), F.explode(F.slice("lists", 1, FIRST_LISTS)).alias("list")))

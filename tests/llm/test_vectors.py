@@ -77,6 +77,23 @@ def test_posting_lists_lose_no_neighbour_to_repeated_rows(spark):
     assert found == [(1, 0.5)] * 25 + [(i, 0.25) for i in range(2, 7)]
 
 
+@pytest.mark.parametrize("own", [4096, 30])
+def test_posting_lists_take_vectors_of_every_length(spark, own, monkeypatch):
+    """Whether a length has lists of its own or is compared whole; few lists, so that the search is exact."""
+    monkeypatch.setattr(posting_lists, "OWN_LISTS", own)
+    monkeypatch.setattr(posting_lists, "ASKED", 2)
+    rng = np.random.default_rng(8)
+    by_length = {4: np.arange(0, 60), 3: np.arange(60, 100), 1: np.array([100, 101, 120])}
+    points = {n: rng.normal(size=(len(ids), n)).astype(np.float32) for n, ids in by_length.items()}
+    rows = [(int(i), [float(c) for c in p], 0, 1.0, 2) for n, ids in by_length.items() for i, p in zip(ids, points[n])]
+    found = collected(posting_lists.search(spark.createDataFrame(rows, SCHEMA)))
+    want = {}
+    for n, ids in by_length.items():
+        want |= brute(ids, points[n].astype(np.float64), 20, 20)
+    assert {0, 20, 40, 60, 80, 100, 120} == set(want)
+    assert {q: [i for i, _ in r] for q, r in found.items()} == {q: [i for i, _ in r] for q, r in want.items()}
+
+
 @pytest.mark.parametrize("search, every", [(cover_tree.search, 50), (posting_lists.search, 20)])
 def test_odd_vectors(spark, search, every):
     inf, nan = float("inf"), float("nan")
