@@ -174,8 +174,16 @@ def near_duplicates(
     to components like others, and are their name (null) only where no row has an id. Repeated rows come out
     as often as they are there. Other columns are not read.
     """
+    return _classed(_fingerprints(documents, id_column, text_column, width), distance, blocks)
+
+
+def _fingerprints(documents: DataFrame, id_column: str, text_column: str, width: int) -> DataFrame:
+    """(id, fp) of every row, written: fingerprints are worked out once."""
     of = documents.select(F.col(id_column).alias("id"), fingerprint_column(F.col(text_column), width).alias("fp"))
-    of = stage(of, "fingerprints")
+    return stage(of, "fingerprints")
+
+
+def _classed(of: DataFrame, distance: int, blocks: int) -> DataFrame:
     codes = of.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("least"))
     codes = stage(codes, "codes")
     roots = components(near_edges(codes, distance, blocks))
@@ -188,18 +196,22 @@ def near_duplicates(
 def keep_one(documents: DataFrame, *, width: int = 3, distance: int = 3, blocks: int = 5) -> DataFrame:
     """The rows of ``documents`` with one document of each component left: that with the smallest ``doc_id``.
 
-    All columns stay. Repeated rows of the kept document come down to one. A component without any id
-    keeps one row.
+    All columns stay, whatever their names. Rows of one id and one fingerprint come down to one of them, any of them
+    where they differ in text or other columns. A component without any id keeps one row.
     """
-    found = near_duplicates(documents, width=width, distance=distance, blocks=blocks)
-    kept = (
-        found.where(F.col("fp") == F.col("kept_fp")).where(F.col("id").eqNullSafe(F.col("component_id")))
-        .select("id", F.col("fp").alias("kept")).distinct()
-    )
+    of = _fingerprints(documents, "doc_id", "text", width)
+    chosen = _classed(of, distance, blocks).where(F.col("fp") == F.col("kept_fp")).where(F.col("id").eqNullSafe(F.col("component_id")))
+    kept = stage(chosen.select("id", F.col("fp").alias("kept")).distinct(), "kept")
+    # An id with one row is settled by the id; the fingerprint is looked at again only where several rows have one id.
+    often = stage(of.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("often")), "often")
+    once = kept.join(often, kept["id"].eqNullSafe(often["often"]), "left_anti")
+    single = documents.join(once, documents["doc_id"].eqNullSafe(once["id"]), "left_semi")
     fp = fresh(documents, "fingerprint")
-    rows = documents.withColumn(fp, fingerprint_column(F.col("text"), width))
-    one = rows.join(kept, rows["doc_id"].eqNullSafe(kept["id"]) & (rows[fp] == kept["kept"]), "left_semi")
-    return one.dropDuplicates(["doc_id", fp]).select(*quoted(documents))
+    rows = documents.join(often, documents["doc_id"].eqNullSafe(often["often"]), "left_semi").withColumn(
+        fp, fingerprint_column(F.col("text"), width)
+    )
+    several = rows.join(kept, rows["doc_id"].eqNullSafe(kept["id"]) & (rows[fp] == kept["kept"]), "left_semi")
+    return single.union(several.dropDuplicates(["doc_id", fp]).select(*quoted(documents)))
 
 
 def hex_digits(fp: str | Column) -> Column:

@@ -3,7 +3,7 @@ import duckdb
 import pytest
 from checks.compare import TABLES
 
-from origintrace.llm import oracle, queries
+from origintrace.llm import oracle, queries, simhash
 
 
 def test_stages_on_odd_documents(spark, odd, none, small):
@@ -22,6 +22,28 @@ def test_stages_on_odd_documents(spark, odd, none, small):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near_dedup", "mixing", "packing"]
 
 
+@pytest.mark.parametrize("which", ["odd", "documents"])
+def test_near_dedup_keeps_the_smallest_id_of_each_component(spark, request, small, which):
+    """Against the components, which are held against brute force elsewhere; rows of one id and fingerprint come down to one."""
+    docs = request.getfixturevalue(which)
+    classes = simhash.near_duplicates(docs, width=3, distance=3).collect()
+    want = sorted({(r.component_id, r.kept_fp) for r in classes}, key=str)
+    kept = corpus_pipeline.near_dedup(spark, docs, small)
+    got = simhash.near_duplicates(kept, width=3, distance=3).collect()
+    assert sorted(((r.id, r.fp) for r in got), key=str) == want
+    rows = {tuple(r) for r in docs.collect()}
+    assert all(tuple(r) in rows for r in kept.collect())
+
+
+@pytest.mark.parametrize("key", ["op3_toxicity", "op7_quality"])
+def test_classifier_queries_on_odd_documents(odd, labels, spark, tmp_path, key):
+    odd.drop("a b", "FP").write.parquet(f"{tmp_path}/documents.parquet")
+    labels.select("doc_id", "quality", "toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = queries.queries()[key](spark, str(tmp_path)).collect()
+    assert len(rows) == odd.count() and all(r.held_out in (True, False) for r in rows)
+    assert all(r.held_out is False for r in rows if r.doc_id is None)
+
+
 def test_run_is_the_stages(spark, small):
     found = corpus_pipeline.run(spark, small)
     assert found.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(found.columns)
