@@ -197,7 +197,8 @@ def fit(documents: DataFrame, labels: DataFrame, bound: int = FIT_DOCUMENTS) ->
     rows = (
         labelled_sample(documents, labels, "quality", HELD_OUT_FOLD, bound)
         .select(features("text").alias("f"), F.when(F.col("label") >= 1, 1).otherwise(0).alias("label")).select("f.*", "label")
-        .orderBy("label", "bins").collect()
+        .collect()
     )
+    rows.sort(key=lambda r: (r.label, bytes(r.bins)))  # bounded; a sort by range would put most of them into one task
     bins = [np.frombuffer(r.bins, dtype=np.int16).reshape(-1, len(_BINS)) for r in rows]
     return fit_lines(bins, [np.frombuffer(r.lengths) for r in rows], np.array([r.label for r in rows], dtype=np.float64))

@@ -21,6 +21,11 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _in_fold(number: int):
+    """Whether a document is held out; a null id is in no fold."""
+    return F.coalesce(fold("doc_id") == number, F.lit(False)).alias("held_out")
+
+
 def op1_cover_tree(spark, d):
     return cover_tree.search(_table(spark, d, "embeddings"), k=5, every=50)
 
@@ -33,7 +38,7 @@ def op2_token_shards(spark, d):
 def op3_toxicity(spark, d):
     documents = _table(spark, d, "documents")
     model = toxicity.fit(documents, _table(spark, d, "labels"))
-    scored = documents.select("doc_id", (fold("doc_id") == toxicity.HELD_OUT_FOLD).alias("held_out"), model.severity("text").alias("severity"))
+    scored = documents.select("doc_id", _in_fold(toxicity.HELD_OUT_FOLD), model.severity("text").alias("severity"))
     return scored.withColumn("toxic", (F.col("severity") >= toxicity.THRESHOLD).cast("int"))
 
 
@@ -52,7 +57,7 @@ def op6_warc(spark, d):
 def op7_quality(spark, d):
     documents = _table(spark, d, "documents")
     model = quality_crf.fit(documents, _table(spark, d, "labels"))
-    scored = documents.select("doc_id", (fold("doc_id") == quality_crf.HELD_OUT_FOLD).alias("held_out"), model.score("text").alias("score"))
+    scored = documents.select("doc_id", _in_fold(quality_crf.HELD_OUT_FOLD), model.score("text").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= quality_crf.THRESHOLD).cast("int"))
 
 

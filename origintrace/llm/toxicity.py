@@ -154,7 +154,9 @@ def fit(documents: DataFrame, labels: DataFrame, bound: int = FIT_DOCUMENTS) ->
         found = [shape.active(t) for t in texts]
         return pd.DataFrame({"active": [sorted(a) for a, _ in found], "marked": [n for _, n in found]})
 
-    rows = sample.select(active("text").alias("f"), "label").select("f.*", "label").orderBy("label", "marked", "active").collect()
+    # Sorted here, as most rows are alike and a sort by range would put them into one task; the sample is bounded.
+    rows = sample.select(active("text").alias("f"), "label").select("f.*", "label").collect()
+    rows.sort(key=lambda r: (r.label, r.marked, r.active))
     marked = np.array([r.marked for r in rows])
     grades = np.where(np.array([r.label for r in rows]) >= 1, 1 + sum(marked >= s for s in STEPS), 0)
     return OrdinalModel(features, *fit_ordinal([list(r.active) for r in rows], grades, len(features)))
