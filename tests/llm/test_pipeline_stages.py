@@ -1,9 +1,12 @@
+from collections import Counter
+
 import corpus_pipeline
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from checks.compare import TABLES
 
-from origintrace.llm import oracle, queries, simhash
+from origintrace.llm import oracle, quality_crf, queries, simhash, toxicity
 
 
 def test_stages_on_odd_documents(spark, odd, none, small):
@@ -35,6 +38,32 @@ def test_near_dedup_keeps_the_smallest_id_of_each_component(spark, request, smal
     assert all(tuple(r) in rows for r in kept.collect())
 
 
+@pytest.mark.parametrize("which", ["odd", "documents"])
+def test_filters_keep_the_rows_their_scores_say(spark, request, small, which):
+    """Row by row: what a fit on the same documents scores on the right side of the threshold, and nothing else."""
+    docs = request.getfixturevalue(which)
+    known = spark.read.parquet(f"{small}/labels.parquet")
+    quality = quality_crf.fit(docs, known).score("text")
+    severity = toxicity.fit(docs, known).severity("text")
+    rows = docs.select(F.struct("*").alias("row"), quality.alias("quality"), severity.alias("severity")).collect()
+    assert len(rows) == docs.count()
+    good = Counter(str(r.row) for r in rows if r.quality >= quality_crf.THRESHOLD)
+    mild = Counter(str(r.row) for r in rows if r.severity < toxicity.THRESHOLD)
+    assert Counter(map(str, corpus_pipeline.quality(spark, docs, small).collect())) == good
+    assert Counter(map(str, corpus_pipeline.nontoxic(spark, docs, small).collect())) == mild
+    if which == "documents":
+        bad = {r.doc_id for r in known.where("quality = 0").collect()}
+        assert 0 < sum(good.values()) < len(rows) and 0 < sum(mild.values()) < len(rows)
+        kept = {r.row.doc_id for r in rows if r.quality >= quality_crf.THRESHOLD}
+        assert len(bad & kept) < len(bad) / 2  # there are eleven such labels at this size
+
+
+def test_mixing_keeps_every_document_in_its_budget(spark, documents, small):
+    mixed = Counter((r.doc_id, r.source) for r in corpus_pipeline.mix(spark, documents, small).select("doc_id", "source").collect())
+    plain = {(r.doc_id, r.source) for r in documents.select("doc_id", "source").collect()}
+    assert set(mixed) == plain and max(mixed.values()) <= 2
+
+
 @pytest.mark.parametrize("key", ["op3_toxicity", "op7_quality"])
 def test_classifier_queries_on_odd_documents(odd, labels, spark, tmp_path, key):
     odd.drop("a b", "FP").write.parquet(f"{tmp_path}/documents.parquet")

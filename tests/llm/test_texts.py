@@ -98,6 +98,22 @@ def test_packing(request, which):
     assert len(by_sequence) <= len(room) + 1
 
 
+def test_packing_in_several_blocks(documents, monkeypatch):
+    """With small blocks, what they leave badly filled is packed once more, so few sequences are lost to the cutting."""
+    monkeypatch.setattr(packing, "BLOCK", 40)
+    pieces = packing.pieces_of(documents, TOKENIZER)
+    rows = packing.pack(pieces).collect()
+    assert Counter((r.doc_id, r.piece) for r in rows) == Counter((r.doc_id, r.piece) for r in pieces.collect())
+    filled = Counter()
+    for r in rows:
+        filled[r.sequence_id] += r.length
+    assert max(filled.values()) <= 4096
+    sizes = np.array([r.length for r in rows])
+    room, place = [], np.empty(len(rows), dtype=int)
+    packing.best_fit(sizes, np.argsort(-sizes, kind="stable"), place, room, 4096)
+    assert len(filled) <= 1.05 * len(room) + 1
+
+
 def test_packing_an_empty_table(none):
     assert packing.pack(packing.pieces_of(none, TOKENIZER)).collect() == []
 
