@@ -422,8 +422,6 @@ def oracle_sql() -> dict[str, str]:
     clean_columns = post_columns.replace("tweet_language, ", "")
     exact = ("select train_country, train_userid, val_country, val_userid, round(similarity, 6) as similarity "
              "from pairs where channel = ")
-    profile = ", ".join(
-        f"coalesce(string_agg(token, ', ' order by token) filter (kind = '{k}'), '') as {k}" for k in _KINDS)
     return {
         # names and union
         "catalog_route": chain(

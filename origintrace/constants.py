@@ -15,6 +15,25 @@ USER_COLUMNS = [
     "account_creation_date", "account_language",
 ]
 
+# --- fixed values: columns of cleaned posts; which of them hold several tokens; the columns that feed each
+# --- kind of token; the kinds whose union is compared between accounts, per channel ----------------
+DATASET_COLUMNS = [
+    "sponsoring_country", "tweetid", "userid", "tweet_text", "user_profile_url",
+    "in_reply_to_userid", "in_reply_to_tweetid", "quoted_tweet_tweetid", "retweet_userid",
+    "retweet_tweetid", "hashtags", "urls", "user_mentions",
+]
+LIST_COLUMNS = {"hashtags", "urls", "user_mentions"}
+KIND_COLUMNS = {
+    "hashtags": ["hashtags"],
+    "urls": ["urls", "user_profile_url"],
+    "related_tweetids": ["in_reply_to_tweetid", "quoted_tweet_tweetid", "retweet_tweetid", "tweetid"],
+    "related_userids": ["user_mentions", "in_reply_to_userid", "retweet_userid", "userid"],
+}
+CHANNEL_KINDS = {
+    "combined": ["hashtags", "urls", "related_tweetids"],
+    "users": ["related_userids"],
+}
+
 # --- fixed values: countries with dumps, countries modelled, order of the class vector ------
 COUNTRIES = [
     "bangladesh", "catalonia", "china", "ecuador", "iran", "russia", "saudi_arabia", "spain",

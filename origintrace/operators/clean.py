@@ -6,15 +6,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from origintrace.constants import LANGUAGE, MODELLED_COUNTRIES
+from origintrace.constants import DATASET_COLUMNS, LANGUAGE, LIST_COLUMNS, MODELLED_COUNTRIES
 from origintrace.functions.tokens import bare_list
 
-DATASET_COLUMNS = [
-    "sponsoring_country", "tweetid", "userid", "tweet_text", "user_profile_url",
-    "in_reply_to_userid", "in_reply_to_tweetid", "quoted_tweet_tweetid", "retweet_userid",
-    "retweet_tweetid", "hashtags", "urls", "user_mentions",
-]
-
 
 def combine(tables: list[tuple[str, str, DataFrame]], columns: list[str], language: str | None = LANGUAGE) -> DataFrame:
     """UNION ALL of raw tables given as (country, release, table), tagged with both.
@@ -42,5 +36,4 @@ def in_language(posts: DataFrame, language: str = LANGUAGE) -> DataFrame:
 def clean_posts(posts: DataFrame, countries: list[str] = MODELLED_COUNTRIES) -> DataFrame:
     """Posts with text from the modelled countries, lists without brackets."""
     kept = posts.where(F.col("sponsoring_country").isin(countries) & F.col("tweet_text").isNotNull())
-    lists = {"hashtags", "urls", "user_mentions"}
-    return kept.select(*[bare_list(F.col(c)).alias(c) if c in lists else F.col(c) for c in DATASET_COLUMNS])
+    return kept.select(*[bare_list(F.col(c)).alias(c) if c in LIST_COLUMNS else F.col(c) for c in DATASET_COLUMNS])

@@ -7,25 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from origintrace.constants import CHANNEL_KINDS, KIND_COLUMNS, LIST_COLUMNS
 from origintrace.functions.tokens import normalized
 
 ACCOUNT = ["is_validation", "sponsoring_country", "userid"]
 
-# Columns that feed each kind of token; the columns named in LIST_COLUMNS hold several tokens.
-KIND_COLUMNS = {
-    "hashtags": ["hashtags"],
-    "urls": ["urls", "user_profile_url"],
-    "related_tweetids": ["in_reply_to_tweetid", "quoted_tweet_tweetid", "retweet_tweetid", "tweetid"],
-    "related_userids": ["user_mentions", "in_reply_to_userid", "retweet_userid", "userid"],
-}
-LIST_COLUMNS = {"hashtags", "urls", "user_mentions"}
-
-# Kinds whose union is compared between accounts, per channel.
-CHANNEL_KINDS = {
-    "combined": ["hashtags", "urls", "related_tweetids"],
-    "users": ["related_userids"],
-}
-
 
 def _tokens(posts: DataFrame, label: str, label_of: dict[str, str]) -> DataFrame:
     """Distinct (account, label, token); ``label_of`` gives the label of a kind."""

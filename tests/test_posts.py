@@ -198,6 +198,17 @@ def test_embedding_classifier_predicts_validation_vectors(spark, small):
     assert rows.count() > 0 and rows.where("prediction not between 0 and 9").count() == 0
 
 
+def test_embedding_classifier_learns_what_embeddings_tell(spark):
+    """Ten classes around ten points: a floor on F1, which the classes of the test table (unrelated to its vectors) cannot give."""
+    rng = random.Random(1)
+    centres = [[rng.gauss(0, 3) for _ in range(16)] for _ in range(10)]
+    data = [(str(c), str(i), str(i), [x + rng.gauss(0, 1) for x in centres[c]], i % 7 == 0) for i in range(1500) for c in [rng.randrange(10)]]
+    rows = spark.createDataFrame(data, "sponsoring_country string, tweetid string, userid string, embedding array<float>, is_validation boolean")
+    found = classify.predict_embeddings(rows, epochs=40)
+    assert found.count() == sum(d[-1] for d in data)
+    assert metrics.weighted_f1(found.withColumn("one", F.get("result", F.lit(0))), "sponsoring_country", "one").first().f1 > 0.8
+
+
 def test_weighted_f1_equals_the_evaluator_of_mllib(spark):
     data = [(float(i % 4), float((i * i) % 5 % 4)) for i in range(200)] + [(3.0, 1.0), (2.0, 2.0)]
     df = spark.createDataFrame(data, "label double, prediction double")
