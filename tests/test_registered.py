@@ -90,3 +90,9 @@ def test_entry_is_the_flagship(spark):
 def test_text_filter_reaches_the_scan(spark, small):
     text = plan(QUERIES["filter_lang"](spark, small))
     assert "EqualTo(lang,en)" in text and "n_chars" not in text
+
+
+def test_votes_are_those_of_all_accounts(spark, small):
+    """Training accounts take part in the wide table."""
+    accounts = {r.userid for r in QUERIES["split_users"](spark, small).collect()}
+    assert {r.userid for r in QUERIES["pivot_predictions"](spark, small).collect()} == accounts
