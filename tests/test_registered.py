@@ -93,6 +93,7 @@ def test_text_filter_reaches_the_scan(spark, small):
 
 
 def test_votes_are_those_of_all_accounts(spark, small):
-    """Training accounts take part in the wide table."""
+    """Training accounts take part in the wide table and in the left-join ensemble, the latter by their votes alone."""
     accounts = {r.userid for r in QUERIES["split_users"](spark, small).collect()}
     assert {r.userid for r in QUERIES["pivot_predictions"](spark, small).collect()} == accounts
+    assert {r.userid for r in QUERIES["ensemble_left"](spark, small).collect()} == accounts
