@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import re
 
 import duckdb
 import pytest
@@ -97,3 +98,15 @@ def test_votes_are_those_of_all_accounts(spark, small):
     accounts = {r.userid for r in QUERIES["split_users"](spark, small).collect()}
     assert {r.userid for r in QUERIES["pivot_predictions"](spark, small).collect()} == accounts
     assert {r.userid for r in QUERIES["ensemble_left"](spark, small).collect()} == accounts
+
+
+@pytest.mark.parametrize("key", ["combine_posts"])
+def test_texts_are_not_shuffled_by_post(spark, small, staged, key):
+    """A document is the text of many posts: only documents may be dealt with their text, as (id, text, language)."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [*staged, plan(QUERIES[key](spark, small)), *staged]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [columns for text in plans for columns in re.findall(r"Exchange\nInput \[\d+\]: \[(.*)\]", text)]
+    assert dealt and all(c.count("#") <= 3 for c in dealt if re.search(r"\b(tweet_)?text#", c))
