@@ -100,7 +100,7 @@ def test_votes_are_those_of_all_accounts(spark, small):
     assert {r.userid for r in QUERIES["ensemble_left"](spark, small).collect()} == accounts
 
 
-@pytest.mark.parametrize("key", ["combine_posts"])
+@pytest.mark.parametrize("key", ["combine_posts", "ingest_csv"])
 def test_texts_are_not_shuffled_by_post(spark, small, staged, key):
     """A document is the text of many posts: only documents may be dealt with their text, as (id, text, language)."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
