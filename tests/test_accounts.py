@@ -158,6 +158,29 @@ def test_similar_pairs_and_scores_equal_brute_force_at_any_setting(spark, settin
     assert {(r.userid, r.country): r.similarity for r in of_edges} == pytest.approx(dict(sums))
 
 
+@pytest.mark.parametrize("settings", [similarity.Settings(), similarity.Settings(words=3, hot_pairs=0, cold_pairs=0, block=(7, 3))], ids=str)
+@pytest.mark.parametrize("by_blocks", [True, False])
+def test_scores_by_blocks_and_by_bits_equal_brute_force(spark, settings, by_blocks):
+    rows = random_sets(4, hot=70)
+    sums, counts = Counter(), Counter()
+    for (_, country, _, _, user), value in brute_pairs(rows).items():
+        sums[user, country] += value
+        counts[user, country] += 1
+    scored = similarity.neighbour_scores(similarity.index_sets(spark.createDataFrame(rows, SETS), settings), by_blocks).collect()
+    assert {(r.userid, r.country): r.neighbours for r in scored} == dict(counts)
+    assert {(r.userid, r.country): r.similarity for r in scored} == pytest.approx(dict(sums))
+
+
+def test_scores_meet_in_blocks_where_all_accounts_share_much(spark):
+    """60 accounts with the same 30 tokens each and two of their own: 45 * 15 pairs, behind 27 bits or more."""
+    rows = [(u % 4 == 0, "iran", f"u{u}", "users", t) for u in range(60) for t in [f"t{i}" for i in range(30 + u % 7)] + [f"own{u}"]]
+    indexed = similarity.index_sets(spark.createDataFrame(rows, SETS), similarity.Settings(hot_pairs=0))
+    text = similarity.neighbour_scores(indexed)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in text
+    chosen, never = (sorted(map(tuple, similarity.neighbour_scores(indexed, b).collect())) for b in (None, False))
+    assert [r[:3] for r in chosen] == [r[:3] for r in never] and [r[3] for r in chosen] == pytest.approx([r[3] for r in never])
+
+
 def test_threshold_is_strict(spark):
     a, b = [f"t{i}" for i in range(5)], ["t0"] + [f"o{i}" for i in range(5)]  # 1 of 10
     rows = [(False, "iran", "a", "users", t) for t in a] + [(True, "iran", "b", "users", t) for t in b]
