@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from origintrace.constants import CLASS_ORDER, MODELLED_COUNTRIES
 from origintrace.operators import classify, clean, features, naive_bayes, split, votes
-from origintrace.sources.staging import stage
+from origintrace.sources.staging import small_batches, stage
 
 POST = ["sponsoring_country", "tweetid", "userid", "is_validation"]
 
@@ -20,7 +20,8 @@ def flagged_posts(posts: DataFrame, countries: list[str] = MODELLED_COUNTRIES) -
 def prepared(posts: DataFrame, **options) -> DataFrame:
     """Posts with their tokens, staged: fitting IDF and transforming both read them."""
     tokens = features.prepare_text(posts, **options)
-    return stage(tokens.select(*POST, "ntokens"), "prepared")
+    with small_batches(posts.sparkSession):
+        return stage(tokens.select(*POST, "ntokens"), "prepared")
 
 
 def featured(tokens: DataFrame, fit_on: str = "all") -> DataFrame:

@@ -258,3 +258,14 @@ def test_accuracy(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "b"), ("a", None)], "t string, p string")
     assert tuple(metrics.accuracy(df, "t", "p").first()) == (3, 1, pytest.approx(1 / 3))
     assert metrics.accuracy(df.where("t = 'z'"), "t", "p").first().accuracy is None
+
+
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    """While tokens are staged, a batch has 1,000 rows at most; afterwards the session's settings are as they were."""
+    setting, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(setting)
+    write = post_level.stage
+    monkeypatch.setattr(post_level, "stage", lambda df, name: (seen.append(int(spark.conf.get(setting))), write(df, name))[1])
+    posts = spark.createDataFrame([("iran", "1", "u", False, "Dogs running")], "sponsoring_country string, tweetid string, userid string, is_validation boolean, tweet_text string")
+    assert [r.ntokens for r in post_level.prepared(posts).collect()] == [["dog", "run"]]
+    assert seen and max(seen) <= 1000 and spark.conf.get(setting) == before
