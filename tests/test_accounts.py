@@ -4,11 +4,12 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from origintrace.constants import CLASS_ORDER
-from origintrace.operators import clean, minhash, profiles, scores, similarity, split
+from origintrace.operators import blocks, clean, minhash, profiles, scores, similarity, split
 from origintrace.plans import user_level
 from origintrace.sources import fixtures
 
@@ -181,6 +182,50 @@ def test_scores_meet_in_blocks_where_all_accounts_share_much(spark):
     assert [r[:3] for r in chosen] == [r[:3] for r in never] and [r[3] for r in chosen] == pytest.approx([r[3] for r in never])
 
 
+@pytest.mark.parametrize("cold_pairs, hot", [(0, 70), (10**6, 6)])
+def test_pairs_are_not_shuffled_to_be_counted_and_blocks_are_many(spark, cold_pairs, hot):
+    """Seven blocks of training and three of validation accounts or more, with hot tokens as bits and without."""
+    rows = random_sets(5, hot=hot)
+    settings = similarity.Settings(words=2, hot_pairs=0, cold_pairs=cold_pairs, pair_block=(6, 6))
+    indexed = similarity.index_sets(spark.createDataFrame(rows, SETS), settings)
+    for found in (similarity.similar_pairs(indexed), minhash.minhash_pairs(spark.createDataFrame(rows, SETS), 20, by_tables=False)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        above = plan[: plan.index("MapInArrow")]
+        assert "Aggregate" not in above and "Join" not in above and "Repartition" not in above
+    got = similarity.similar_pairs(indexed).collect()
+    want = brute_pairs(rows)
+    assert len(got) == len(want) and {tuple(r)[:5]: r.similarity for r in got} == pytest.approx(want)
+
+
+def test_blocks_count_what_is_shared_at_any_cut(monkeypatch):
+    """Accounts of several rows, in batches of any size, and pieces of few tokens."""
+    rng = random.Random(6)
+    tokens = {i: rng.sample(range(40), rng.randrange(1, 25)) for i in range(30)}
+    rows = []
+    for block in (0, 1):
+        for val in (True, False):
+            for i in range(30):
+                if (i % 3 == 0) == val:
+                    for part in (0, 1, 2):
+                        held = [t for t in tokens[i] if t % 3 == part]
+                        rows.append((block, val, i, "users", len(tokens[i]) + block, 0, "iran", f"u{i}", held))
+    names = ["block", "is_validation", "id", "channel", "n", "m0", "sponsoring_country", "userid", "tokens"]
+    table = pa.Table.from_pylist([dict(zip(names, r)) for r in rows])
+    want = {(b, i, j): len(set(tokens[i]) & set(tokens[j])) for b in (0, 1) for i in tokens if i % 3 for j in tokens if j % 3 == 0}
+    want = {k: v for k, v in want.items() if v}
+    for met in (1, 7, 1 << 21):
+        monkeypatch.setattr(blocks, "MET", met)
+        for size in (1, 4, 1000):
+            got, order = {}, iter([0, 1])
+            last = None
+            for held, train in blocks._sides(iter(table.to_batches(max_chunksize=size)), ["m0"]):
+                if held is not last:
+                    last, block = held, next(order)
+                for _, _, (mine, place, shared) in held.met(train):
+                    got |= {(block, int(train.ids[m]), int(held.ids[p])): int(c) for m, p, c in zip(mine, place, shared)}
+            assert got == want
+
+
 def test_threshold_is_strict(spark):
     a, b = [f"t{i}" for i in range(5)], ["t0"] + [f"o{i}" for i in range(5)]  # 1 of 10
     rows = [(False, "iran", "a", "users", t) for t in a] + [(True, "iran", "b", "users", t) for t in b]
