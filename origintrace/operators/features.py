@@ -11,7 +11,7 @@ from origintrace.functions import text as txt
 from origintrace.functions.porter import with_stems
 from origintrace.functions.stemming import stems
 from origintrace.functions.tokens import drop_link_tokens
-from origintrace.sources.staging import stage, staged_path
+from origintrace.sources.staging import small_batches, stage, staged_path
 
 HEAVY_TERMS = 4096  # terms in the most documents, broadcast when weighting; a fixed row bound
 
@@ -43,15 +43,15 @@ def stem_vocabulary(posts: DataFrame, text: str = "tweet_text") -> DataFrame:
 def stemmed_terms(posts: DataFrame, text: str = "tweet_text", keep: tuple[str, ...] = (), heavy: int = HEAVY_TERMS) -> DataFrame:
     """(tweetid, *keep, term, tf): how often each token of ``prepare_text`` is in each post.
 
-    Order does not matter here, so stems come from the vocabulary: uses are counted per post and word,
-    stems are worked out for each word once, and the words in most posts are looked up by broadcast.
+    Stems are worked out where the texts are read, each different word of a batch once, so the tokens are shuffled one
+    time only, to be counted; nothing is looked up, and ``heavy`` has no effect. The result is staged.
     """
     key = ["tweetid", *keep]
-    words = posts.select(*key, F.explode(txt.tokens(F.col(text))).alias("word"))
-    uses = stage(words.groupBy(*key, F.lower("word").alias("word")).agg(F.count("*").alias("uses")), "word-uses")
-    vocabulary = with_stems(uses.groupBy("word").agg(F.count("*").alias("posts")), "word", "term")
-    kept = F.size(drop_link_tokens(txt.without_stop_words(F.array("term")))) > 0
-    return with_heavy_apart(uses, vocabulary.where(kept), "word", "posts", heavy).groupBy(*key, "term").agg(F.sum("uses").alias("tf"))
+    # Both lower cases are Spark's; a stem is made of the letters it is given.
+    terms = stems(F.transform(txt.tokens(F.col(text)), lambda t: F.lower(t)))
+    kept = posts.select(*key, drop_link_tokens(txt.without_stop_words(terms)).alias("terms"))
+    with small_batches(posts.sparkSession):
+        return stage(kept.select(*key, F.explode("terms").alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf")), "stemmed-terms")
 
 
 def with_heavy_apart(rows: DataFrame, table: DataFrame, key: str, weight: str, heavy: int = HEAVY_TERMS) -> DataFrame:
