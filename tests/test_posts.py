@@ -139,6 +139,16 @@ def test_stemmed_terms_count_the_prepared_tokens(spark, small):
         assert {(r.tweetid, r.term): r.tf for r in got} == dict(want) and len(got) == len(want)
 
 
+def test_stemmed_terms_shuffle_tokens_once(spark, monkeypatch):
+    staged, write = [], features.stage
+    monkeypatch.setattr(features, "stage", lambda df, name: staged.append(df) or write(df, name))
+    texts = [("1", "Running runs, RUNNING"), ("1", "runs the ponies"), ("2", None), (None, "ponies")]
+    got = features.stemmed_terms(spark.createDataFrame(texts, "tweetid string, tweet_text string")).collect()
+    assert {(r.tweetid, r.term): r.tf for r in got} == {("1", "run"): 4, ("1", "poni"): 1, (None, "poni"): 1} and len(got) == 3
+    plan = staged[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert len(staged) == 1 and "Join" not in plan and plan.count("Aggregate") == 1
+
+
 @pytest.mark.parametrize("heavy", [2, 4096])
 def test_naive_bayes_equals_mllib(spark, heavy):
     """The same weighted rows as vectors over the same vocabulary."""
