@@ -46,3 +46,15 @@ def without_stop_words(words: Column, stop_words: list[str] = STOP_WORDS) -> Col
 def terms(text: Column) -> Column:
     """Lower-case runs of letters and digits: the terms of the exact TF-IDF."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+
+
+def run_ends(words: Column) -> Column:
+    """Of a sorted array without nulls: the places, from 1, where a run of equal words ends."""
+    return F.array_compact(F.transform(words, lambda t, i: F.when(~t.eqNullSafe(F.get(words, i + 1)), i + 1)))
+
+
+def runs(words: Column, ends: Column) -> Column:
+    """(term, tf) of each run of equal words; ``words`` and ``ends``, their ``run_ends``, should be columns of a table."""
+    return F.transform(ends, lambda e, k: F.struct(
+        F.get(words, e - 1).alias("term"), (e - F.coalesce(F.get(ends, k - 1), F.lit(0))).cast("long").alias("tf")
+    ))

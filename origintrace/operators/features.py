@@ -13,7 +13,8 @@ from origintrace.functions.stemming import stems
 from origintrace.functions.tokens import drop_link_tokens
 from origintrace.sources.staging import small_batches, stage, staged_path
 
-HEAVY_TERMS = 4096  # terms in the most documents, broadcast when weighting; a fixed row bound
+HEAVY_TERMS = 4096  # terms in the most documents, broadcast with all a model knows of them; a fixed row bound
+COUNTED_TERMS = 1 << 18  # the same where a term brings only its count, so a row is some 60 bytes
 
 
 def prepare_text(
@@ -68,12 +69,22 @@ def with_heavy_apart(rows: DataFrame, table: DataFrame, key: str, weight: str, h
 
 
 def term_frequency(posts: DataFrame, text: str = "tweet_text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(tweetid, *keep, term, tf); uses within a document are combined map-side."""
-    return (
-        posts.select("tweetid", *keep, F.explode(txt.terms(F.col(text))).alias("term"))
-        .groupBy("tweetid", *keep, "term")
-        .agg(F.count("*").alias("tf"))
-    )
+    """(tweetid, *keep, term, tf); terms are counted within their text, where it is read.
+
+    Only the counts of an id that several rows have are shuffled, to be added up.
+    """
+    key = ["tweetid", *keep]
+    ids = posts.groupBy(F.col("tweetid").alias("repeated")).agg(F.count("*").alias("n")).where("n > 1").select("repeated")
+    repeated = stage(ids, "repeated-ids")
+    same = F.col("tweetid").eqNullSafe(F.col("repeated"))
+
+    def counted(rows: DataFrame) -> DataFrame:
+        words = rows.select(*key, F.sort_array(txt.terms(F.col(text))).alias("words"))
+        ended = words.select(*key, "words", txt.run_ends(F.col("words")).alias("ends"))
+        return ended.select(*key, F.inline(txt.runs(F.col("words"), F.col("ends"))))
+
+    again = counted(posts.join(repeated, same, "left_semi")).groupBy(*key, "term").agg(F.sum("tf").alias("tf"))
+    return counted(posts.join(repeated, same, "left_anti")).unionByName(again)
 
 
 def document_frequency(tf: DataFrame) -> DataFrame:
@@ -81,24 +92,26 @@ def document_frequency(tf: DataFrame) -> DataFrame:
 
 
 def tfidf_terms(
-    tf: DataFrame, n_documents, min_doc_freq: int = MIN_DOC_FREQ, heavy: int = HEAVY_TERMS, fit_on: str = "all"
+    tf: DataFrame, n_documents, min_doc_freq: int = MIN_DOC_FREQ, heavy: int = COUNTED_TERMS, fit_on: str = "all"
 ) -> DataFrame:
     """Exact TF-IDF on terms; terms in fewer than ``min_doc_freq`` documents weigh 0.
 
     With ``fit_on="train"``, only rows whose ``is_validation`` is false count as documents of a term.
     ``n_documents`` is a column, such as a scalar subquery. The terms of most documents hold a
-    large part of all rows, so they are looked up by broadcast, at most ``heavy`` of them; the
-    others join by shuffle, where none of them is frequent enough to fill a task.
+    large part of all rows, so they are looked up by broadcast, at most ``heavy`` of them. If there are
+    others, they join by shuffle, where none of them is frequent enough to fill a task.
     """
     basis = tf if fit_on == "all" else tf.where(~F.col("is_validation"))
-    df = document_frequency(basis).where(F.col("df") >= min_doc_freq)
-    top = df.orderBy(F.desc("df"), "term").limit(heavy)
+    df = stage(document_frequency(basis).where(F.col("df") >= min_doc_freq), "document-frequency")
     idf = F.log((n_documents + 1) / (F.col("df") + 1))
+    weighted = lambda rows: rows.select(*tf.columns, F.coalesce(F.col("tf") * idf, F.lit(0.0)).alias("tfidf"))
+    if df.count() <= heavy:
+        return weighted(tf.join(F.broadcast(df), "term", "left"))
+    top = df.orderBy(F.desc("df"), "term").limit(heavy)
     first = tf.join(F.broadcast(top), "term", "left")
     frequent = first.where(F.col("df").isNotNull())
-    others = first.where(F.col("df").isNull()).drop("df")
-    rest = others.join(df, "term", "left")
-    return frequent.unionByName(rest).select(*tf.columns, F.coalesce(F.col("tf") * idf, F.lit(0.0)).alias("tfidf"))
+    rest = first.where(F.col("df").isNull()).drop("df").join(df, "term", "left")
+    return weighted(frequent.unionByName(rest))
 
 
 def with_slots(vocabulary: DataFrame, dimensions: int = HASH_DIMENSIONS) -> DataFrame:

@@ -90,6 +90,32 @@ def test_tfidf_terms_equal_brute_force_with_and_without_heavy_terms(spark):
         assert {(r.tweetid, r.term): r.tfidf for r in got} == pytest.approx(expected)
 
 
+def test_terms_are_counted_where_texts_are_read(spark):
+    """Counts of one row's text are not shuffled; those of an id in several rows, null among them, are added up."""
+    texts = [("1", "b a, B! ß b2"), ("2", ""), ("3", None), ("4", "..."), ("5", "x x"), ("5", "y X"), (None, "z z"), (None, "z"), ("6", "x")]
+    tf = features.term_frequency(spark.createDataFrame(texts, "tweetid string, tweet_text string"))
+    assert tf.dtypes == [("tweetid", "string"), ("term", "string"), ("tf", "bigint")]
+    got = tf.collect()
+    assert sorted(map(tuple, got), key=str) == sorted([("1", "a", 1), ("1", "b", 2), ("1", "b2", 1), ("1", "ß", 1), ("5", "x", 3), ("5", "y", 1), (None, "z", 3), ("6", "x", 1)], key=str)
+    union = tf._jdf.queryExecution().optimizedPlan()
+    once, again = (union.children().apply(i).toString() for i in (0, 1))
+    assert "Aggregate" not in once and again.count("Aggregate") == 1
+
+
+def test_document_frequencies_are_counted_once(spark, monkeypatch):
+    """Terms that are few enough meet their weights in one pass over the rows, without a shuffle of the others."""
+    staged, write = [], features.stage
+    monkeypatch.setattr(features, "stage", lambda df, name: staged.append(name) or write(df, name))
+    tf = spark.createDataFrame([(str(i), f"w{j}", 1) for i in range(6) for j in range(i + 1)], "tweetid string, term string, tf long")
+    for heavy, unions in ((6, 0), (1, 1)):
+        weighted = features.tfidf_terms(tf, F.lit(6), heavy=heavy)
+        got = {(r.tweetid, r.term): r.tfidf for r in weighted.collect()}
+        assert got == pytest.approx({(str(i), f"w{j}"): math.log(7 / (7 - j)) if j < 2 else 0 for i in range(6) for j in range(i + 1)})
+        plan = weighted._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Union") == unions and plan.count("Aggregate") == 0
+    assert staged == ["document-frequency"] * 2
+
+
 def test_hashed_weights_can_be_fitted_on_training_posts_alone(spark):
     df = spark.createDataFrame([(str(i), None, i % 2 == 0, ["a", "b"] if i % 2 else ["a"]) for i in range(20)],
                                POSTS + ", ntokens array<string>")
