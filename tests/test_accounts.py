@@ -97,6 +97,33 @@ def test_profiles_of_a_busy_account_are_rows_like_any_other(spark):
     assert sum(r.userid == "calm7" for r in rows) == 2
 
 
+def test_tokens_of_an_account_end_in_one_task_unless_it_is_busy(spark):
+    """Whatever the bound, the same rows as brute force; up to it, an account's rows are in one partition."""
+    rng = random.Random(3)
+    some = lambda values: rng.choice([None, "", *values])
+    lists = ["A, b, 'a'", "b", " c , , B", "[]"]
+    posts = [(u % 3 == 0, rng.choice(["iran", "china", None]), some([str(i)]), None if u == 5 else f"u{u}", some(["http://p/x, y"]), some(["r"]),
+              some(["7"]), None, some(["q", " Q'"]), some(["9"]), some(lists), some(lists), some(lists)) for u in range(12) for i in range(6)]
+    names = [f.split()[0] for f in POST.split(", ")]
+    expected = set()
+    for row in (dict(zip(names, p)) for p in posts):
+        for kind, columns in profiles.KIND_COLUMNS.items():
+            for c in columns:
+                values = [] if row[c] is None else row[c].split(", ") if c in profiles.LIST_COLUMNS else [row[c]]
+                expected |= {(row["is_validation"], row["sponsoring_country"], row["userid"], kind, t)
+                             for t in (v.lower().strip().strip("'") for v in values) if t}
+    df = spark.createDataFrame(posts, POST)
+    for busy in (0, 3, 1000):
+        got = profiles._tokens(df, "kind", {k: k for k in profiles.KIND_COLUMNS}, busy).collect()
+        assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = profiles.channel_sets(df).select(*profiles.ACCOUNT, F.spark_partition_id().alias("at")).distinct().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(Counter(tuple(r)[:3] for r in placed).values()) == 1 and len({r["at"] for r in placed}) > 1
+
+
 SETS = "is_validation boolean, sponsoring_country string, userid string, channel string, token string"
 
 
