@@ -11,7 +11,7 @@ from origintrace.functions import text as txt
 from origintrace.functions.porter import with_stems
 from origintrace.functions.stemming import stems
 from origintrace.functions.tokens import drop_link_tokens
-from origintrace.sources.staging import small_batches, stage, staged_path
+from origintrace.sources.staging import stage, staged_path
 
 HEAVY_TERMS = 4096  # terms in the most documents, broadcast with all a model knows of them; a fixed row bound
 COUNTED_TERMS = 1 << 18  # the same where a term brings only its count, so a row is some 60 bytes
@@ -41,18 +41,25 @@ def stem_vocabulary(posts: DataFrame, text: str = "tweet_text") -> DataFrame:
     return with_stems(words.groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("uses")), "word", "stem")
 
 
-def stemmed_terms(posts: DataFrame, text: str = "tweet_text", keep: tuple[str, ...] = (), heavy: int = HEAVY_TERMS) -> DataFrame:
+def stemmed_terms(posts: DataFrame, text: str = "tweet_text", keep: tuple[str, ...] = (), heavy: int = COUNTED_TERMS) -> DataFrame:
     """(tweetid, *keep, term, tf): how often each token of ``prepare_text`` is in each post.
 
-    Stems are worked out where the texts are read, each different word of a batch once, so the tokens are shuffled one
-    time only, to be counted; nothing is looked up, and ``heavy`` has no effect. The result is staged.
+    Words are counted within their text, where it is read, and every different word gets its stem once. The ``heavy`` words
+    of most posts are looked up by broadcast, the others by shuffle; then uses are added up by stem. The result is staged.
     """
     key = ["tweetid", *keep]
-    # Both lower cases are Spark's; a stem is made of the letters it is given.
-    terms = stems(F.transform(txt.tokens(F.col(text)), lambda t: F.lower(t)))
-    kept = posts.select(*key, drop_link_tokens(txt.without_stop_words(terms)).alias("terms"))
-    with small_batches(posts.sparkSession):
-        return stage(kept.select(*key, F.explode("terms").alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf")), "stemmed-terms")
+    words = posts.select(*key, F.sort_array(F.transform(txt.tokens(F.col(text)), lambda t: F.lower(t))).alias("words"))
+    ended = words.select(*key, "words", txt.run_ends(F.col("words")).alias("ends"))
+    counted = ended.select(*key, F.inline(txt.runs(F.col("words"), F.col("ends"))))
+    uses = stage(counted.select(*key, F.col("term").alias("word"), F.col("tf").alias("uses")), "word-uses")
+    kept = F.size(drop_link_tokens(txt.without_stop_words(F.array("term")))) > 0
+    vocabulary = with_stems(uses.groupBy("word").agg(F.count("*").alias("posts")), "word", "term")
+    stems_of = vocabulary.withColumn("term", F.when(kept, F.col("term")))
+    top = stems_of.orderBy(F.desc("posts"), "word").limit(heavy).select("word", "term", F.lit(True).alias("frequent"))
+    first = uses.join(F.broadcast(top), "word", "left")
+    rest = first.where(F.col("frequent").isNull()).drop("term", "frequent").join(stems_of.drop("posts"), "word")
+    named = first.where("frequent").drop("frequent").unionByName(rest).where(F.col("term").isNotNull())
+    return stage(named.groupBy(*key, "term").agg(F.sum("uses").alias("tf")), "stemmed-terms")
 
 
 def with_heavy_apart(rows: DataFrame, table: DataFrame, key: str, weight: str, heavy: int = HEAVY_TERMS) -> DataFrame:
